@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, merkle, substring_dedup, url_filter
+from . import chat_format, merkle, packing, substring_dedup, url_filter
 
 MODULES = {
     "op2_substring_dedup": substring_dedup,
     "op3_chat_format": chat_format,
     "op4_url_filter": url_filter,
+    "op7_packing": packing,
     "op10_merkle": merkle,
 }
 
