@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, merkle, packing, substring_dedup, url_filter
+from . import chat_format, cover_tree, lsh_forest, merkle, packing, substring_dedup, url_filter
 
 MODULES = {
+    "op1_cover_tree": cover_tree,
     "op2_substring_dedup": substring_dedup,
     "op3_chat_format": chat_format,
     "op4_url_filter": url_filter,
     "op7_packing": packing,
+    "op9_lsh_forest": lsh_forest,
     "op10_merkle": merkle,
 }
 
