@@ -142,11 +142,13 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of whole texts and their hashes; lower folds A-Z only."""
+def words(texts: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Words:
+    """The words of whole texts and their hashes; lower folds A-Z only, table maps each byte first."""
     offsets, whole = _buffers(texts)
     data = whole[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    if table is not None:
+        data = table[data]
     if lower:
         data = _LOWER[data]
     n = len(data)

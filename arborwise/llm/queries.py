@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, cover_tree, lsh_forest, merkle, mixing, packing, substring_dedup, url_filter
+from . import chat_format, cotraining, cover_tree, lsh_forest, merkle, mixing, packing, substring_dedup, url_filter
 
 MODULES = {
     "op1_cover_tree": cover_tree,
     "op2_substring_dedup": substring_dedup,
     "op3_chat_format": chat_format,
     "op4_url_filter": url_filter,
+    "op5_cotraining": cotraining,
     "op6_mixing": mixing,
     "op7_packing": packing,
     "op9_lsh_forest": lsh_forest,
