@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, cotraining, cover_tree, lsh_forest, merkle, mixing, packing, substring_dedup, url_filter
+from . import chat_format, cotraining, cover_tree, lsh_forest, maxent, merkle, mixing, packing, substring_dedup, url_filter
 
 MODULES = {
     "op1_cover_tree": cover_tree,
@@ -16,6 +16,7 @@ MODULES = {
     "op5_cotraining": cotraining,
     "op6_mixing": mixing,
     "op7_packing": packing,
+    "op8_maxent": maxent,
     "op9_lsh_forest": lsh_forest,
     "op10_merkle": merkle,
 }

@@ -1,13 +1,60 @@
-"""The corpus pipeline (stages follow as their operators arrive)."""
+"""The corpus pipeline: quality, near copies, repeated passages, mixture and packing.
+
+Each stage takes (spark, docs, sf_dir) and gets what the one before it kept.  All but the last
+return the columns of documents; a document whose whole text repeats earlier passages stays
+with an empty text.  run() writes each stage's rows as Parquet in the shared folder and reads
+them for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborwise.llm import cotraining, lsh_forest, mixing, packing, substring_dedup
+from arborwise.llm.common import stash
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier doesn't reject."""
+    scored = cotraining.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("not rejected").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies (five-word shingles, Jaccard 0.8)."""
+    kept = lsh_forest.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words or more that an earlier document has; other texts stay as they are."""
+    done = substring_dedup.substring_dedup(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    done = done.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_classifier", quality), ("minhash_near_dedup", near_copies), ("substring_dedup", passages), ("mixing_sources", mixture), ("best_fit_packing", packed)]
+
+#: A trained classifier decides; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = stash(stage(spark, docs, sf_dir))
     return docs
