@@ -5,7 +5,7 @@
    others, to the bucket of its hash.  So a hash costs a bucket at most one entry per chunk,
    however many copies it has.
 2. A bucket sorts its entries and returns the hashes that a smaller id also has.
-3. Settled and returned hashes meet the text by doc_id; windows are hashed again, those
+3. Settled and returned hashes meet the text by blocks of doc_ids; windows are hashed again, those
    listed are marked, and overlapping ones merge into maximal intervals.
 
 Equality of windows is that of 64 hash bits and of the bucket, which comes from further bits
@@ -19,6 +19,7 @@ empty result; further columns are carried along under their own names.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,34 @@ from pyspark.sql import types as T
 from .common import U64, blocks_for, mix, slices, windows, words
 
 _PACKED = "bucket int, ids binary, counts binary, hashes binary"
-_SETTLED = "doc_id long, hashes binary"
+_LISTED = "home int, ids binary, counts binary, hashes binary"
+
+
+def _home(doc: np.ndarray, homes: int) -> np.ndarray:
+    """The block of documents that a doc_id belongs to: crc32 of its decimal digits."""
+    return np.array([zlib.crc32(str(d).encode()) % homes for d in doc.tolist()], np.int64)
+
+
+def _packed(key: np.ndarray, doc: np.ndarray, h: np.ndarray) -> dict[str, list]:
+    """One row per key: its doc_ids, how many hashes each has, and the hashes."""
+    out: dict[str, list] = {"key": [], "ids": [], "counts": [], "hashes": []}
+    order = np.lexsort((doc, key))
+    key, doc, h = key[order], doc[order], h[order]
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=False):
+        d = doc[a:z]
+        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        out["key"].append(int(key[a]))
+        out["ids"].append(d[first].tobytes())
+        out["counts"].append(np.diff(np.r_[first, len(d)]).astype(np.uint32).tobytes())
+        out["hashes"].append(h[a:z].tobytes())
+    return out
 
 
-def _per_document(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Runs of equal doc in sorted order: ids, counts, and each run's hashes as bytes."""
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    counts = np.diff(np.r_[cut, len(doc)])
-    return doc[cut], counts, [h[a : a + n].tobytes() for a, n in zip(cut.tolist(), counts.tolist(), strict=True)]
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(doc_id, hash) of all entries of packed rows."""
+    ids, counts, hashes = (np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in (("ids", np.int64), ("counts", np.uint32), ("hashes", U64)))
+    return np.repeat(ids, counts), hashes
 
 
 def _entries(ids: np.ndarray, texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,112 +80,99 @@ def _later(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mapper(width: int, buckets: int):
+def _mapper(width: int, buckets: int, homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in slices(batch.column("text")):
                 ids = batch.column("doc_id").slice(i, j - i).to_numpy()
                 h, doc = _entries(ids, batch.column("text").slice(i, j - i), width)
                 late = _later(h)
-                out = {"bucket": [], "ids": [], "counts": [], "hashes": []}
-                order = np.argsort(doc[late], kind="stable")
-                docs, counts, packed = _per_document(doc[late][order], h[late][order])
-                for d, n, p in zip(docs.tolist(), counts.tolist(), packed, strict=True):
-                    out["bucket"].append(-1)
-                    out["ids"].append(np.int64(d).tobytes())
-                    out["counts"].append(np.uint32(n).tobytes())
-                    out["hashes"].append(p)
+                where, at = np.unique(doc, return_inverse=True)
+                settled = _packed(-1 - _home(where, homes)[at[late]], doc[late], h[late])
                 h, doc = h[~late], doc[~late]
-                at = (mix(h + U64(0x5851F42D4C957F2D)) % U64(buckets)).astype(np.int64)
-                order = np.lexsort((doc, at))
-                h, doc, at = h[order], doc[order], at[order]
-                edge = np.searchsorted(at, np.arange(buckets + 1)).tolist()
-                for b in np.unique(at).tolist():
-                    a, z = edge[b], edge[b + 1]
-                    docs, counts, _ = _runs(doc[a:z])
-                    out["bucket"].append(b)
-                    out["ids"].append(docs.tobytes())
-                    out["counts"].append(counts.astype(np.uint32).tobytes())
-                    out["hashes"].append(h[a:z].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("ids", "counts", "hashes"))], ["bucket", "ids", "counts", "hashes"])
+                sent = _packed((mix(h + U64(0x5851F42D4C957F2D)) % U64(buckets)).astype(np.int64), doc, h)
+                yield pa.RecordBatch.from_arrays([pa.array(settled[k] + sent[k], pa.int32() if k == "key" else pa.binary()) for k in sent], ["bucket", "ids", "counts", "hashes"])
 
     return run
 
 
-def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    return doc[cut], np.diff(np.r_[cut, len(doc)]), cut
-
+def _reducer(homes: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One bucket: the hashes of each document that a smaller doc_id has too, packed by block of documents."""
+        bucket = table.column("bucket")[0].as_py()
+        doc, h = _unpacked(table)
+        if bucket < 0:  # settled in the mapper
+            out = _packed(np.full(len(doc), -1 - bucket), doc, h)
+        else:
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            first = np.flatnonzero(~_later(h))
+            again = doc > np.repeat(doc[first], np.diff(np.r_[first, len(h)]))
+            where, at = np.unique(doc[again], return_inverse=True)
+            out = _packed(_home(where, homes)[at], doc[again], h[again])
+        return pa.table([pa.array(out[k], pa.int32() if k == "key" else pa.binary()) for k in out], ["home", "ids", "counts", "hashes"])
 
-def _reducer(table: pa.Table) -> pa.Table:
-    """One bucket: for each document the hashes that a smaller doc_id has too."""
-    if table.column("bucket")[0].as_py() < 0:  # settled in the mapper
-        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
-        return pa.table({"doc_id": pa.array(ids), "hashes": table.column("hashes")})
-    join = lambda k, kind: np.frombuffer(b"".join(table.column(k).to_pylist()), kind)
-    h = join("hashes", U64)
-    doc = np.repeat(join("ids", np.int64), join("counts", np.uint32))
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    first = np.flatnonzero(~_later(h))
-    least = np.repeat(doc[first], np.diff(np.r_[first, len(h)]))
-    again = doc > least
-    h, doc = h[again], doc[again]
-    order = np.argsort(doc, kind="stable")
-    docs, _, packed = _per_document(doc[order], h[order])
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "hashes": pa.array(packed, pa.binary())})
+    return run
 
 
-def _marker(width: int, fields: list[str], schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j in slices(batch.column("text")):
-                part = batch.slice(i, j - i)
-                w = words(part.column("text"))
-                h, start = windows(w.hashes, w.first, width)
-                edge = np.searchsorted(start, w.first)
-                kept, removed, spans = [], [], []
-                for k, listed in enumerate(part.column("repeated")):
-                    a, z = int(w.first[k]), int(w.first[k + 1])
-                    gone = np.zeros(z - a + 1, np.int64)
-                    if listed.is_valid and len(listed):
-                        known = np.unique(np.frombuffer(b"".join(x.as_py() for x in listed.values), U64))
-                        own = h[edge[k] : edge[k + 1]]
-                        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                        hit = start[edge[k] : edge[k + 1]][known[place] == own] - a
-                        np.add.at(gone, hit, 1)
-                        np.add.at(gone, hit + width, -1)
-                    out = np.cumsum(gone[:-1]) > 0
-                    turn = np.flatnonzero(np.diff(np.r_[0, out.astype(np.int8), 0])).tolist()
-                    spans.append([{"first": x, "last": y - 1} for x, y in zip(turn[::2], turn[1::2], strict=True)])
-                    removed.append(int(out.sum()))
-                    keep = np.flatnonzero(~out) + a
-                    kept.append(" ".join([w.data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(w.begin[keep].tolist(), w.end[keep].tolist(), strict=True)]))
-                own = {"n_words": pa.array(w.count(), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed_spans": pa.array(spans, schema.field("removed_spans").type), "kept_text": pa.array(kept, pa.string())}
-                yield pa.RecordBatch.from_arrays([own[f] if f in own else part.column(f).cast(schema.field(f).type) for f in fields], schema=schema)
+def _marker(width: int, schema: pa.Schema):
+    def run(docs: pa.Table, listed: pa.Table) -> pa.Table:
+        """A block of documents: marks the windows that are listed for each and joins what is left."""
+        owner, known = _unpacked(listed)
+        order = np.lexsort((known, owner))
+        owner, known = owner[order], known[order]
+        docs, made = docs.combine_chunks(), []
+        ids, texts = docs.column("doc_id").combine_chunks(), docs.column("text").combine_chunks()
+        for i, j in slices(texts):
+            w = words(texts.slice(i, j - i))
+            h, start = windows(w.hashes, w.first, width)
+            edge = np.searchsorted(start, w.first)
+            kept, removed, spans = [], [], []
+            for k, doc in enumerate(ids.slice(i, j - i).to_pylist()):
+                a, z = int(w.first[k]), int(w.first[k + 1])
+                gone = np.zeros(z - a + 1, np.int64)
+                lo, hi = (0, 0) if doc is None else np.searchsorted(owner, [doc, doc + 1]).tolist()
+                if lo < hi:
+                    own = h[edge[k] : edge[k + 1]]
+                    place = lo + np.minimum(np.searchsorted(known[lo:hi], own), hi - lo - 1)
+                    hit = start[edge[k] : edge[k + 1]][known[place] == own] - a
+                    np.add.at(gone, hit, 1)
+                    np.add.at(gone, hit + width, -1)
+                out = np.cumsum(gone[:-1]) > 0
+                turn = np.flatnonzero(np.diff(np.r_[0, out.astype(np.int8), 0])).tolist()
+                spans.append([{"first": x, "last": y - 1} for x, y in zip(turn[::2], turn[1::2], strict=True)])
+                removed.append(int(out.sum()))
+                keep = np.flatnonzero(~out) + a
+                kept.append(" ".join([w.data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(w.begin[keep].tolist(), w.end[keep].tolist(), strict=True)]))
+            own = {"n_words": w.count(), "n_removed": removed, "removed_spans": spans, "kept_text": kept}
+            made.append(pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else docs.column(f.name).combine_chunks().slice(i, j - i).cast(f.type) for f in schema], schema=schema))
+        return pa.Table.from_batches(made, schema)
 
     return run
 
 
 def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_words, n_removed, removed_spans (word ranges, both ends within) and kept_text (words joined by one space)."""
+    """The columns of docs with n_words, n_removed, removed_spans (word ranges, both ends within) and kept_text (words joined by one space)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = blocks_for(base, 8 << 20)
-    packed = base.where("doc_id is not null and text is not null").mapInArrow(_mapper(width, buckets), _PACKED)
-    # Settled rows carry no bucket to meet in; a random place spreads them.
-    place = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("ids"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    found = packed.withColumn("bucket", place).groupBy("bucket").applyInArrow(_reducer, _SETTLED)
-    lists = found.groupBy("doc_id").agg(F.collect_list("hashes").alias("repeated"))
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))), T.StructField("kept_text", T.StringType())])
-    schema = to_arrow_schema(out)
-    return base.join(lists, "doc_id", "left").select("doc_id", "text", "repeated").mapInArrow(_marker(width, out.names, schema), out)
+    made = ("n_words", "n_removed", "removed_spans", "kept_text")
+    others = [c for c in docs.columns if c not in (id_col, text_col, *made)]
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("others") if others else F.lit(None).cast("int").alias("others"))
+    buckets = blocks_for(base.select("doc_id", "text"), 8 << 20)
+    packed = base.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_mapper(width, buckets, buckets), _PACKED)
+    listed = packed.groupBy("bucket").applyInArrow(_reducer(buckets), _LISTED)
+    spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
+    kinds = {"n_words": T.LongType(), "n_removed": T.LongType(), "removed_spans": spans, "kept_text": T.StringType()}
+    out = T.StructType([*base.schema.fields, *(T.StructField(k, v) for k, v in kinds.items())])
+    home = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")), F.lit(buckets)).cast("int")
+    blocks = base.withColumn("home", home).groupBy("home").cogroup(listed.groupBy("home"))
+    done = blocks.applyInArrow(_marker(width, to_arrow_schema(out)), out)
+    return done.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col), *(F.col(f"others.`{c}`").alias(c) for c in others), *made)
 
 
 def digest(spark, sf_dir: str) -> DataFrame:
     """The contract's columns, over all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
