@@ -23,8 +23,7 @@ def path_key(path: str) -> str:
 def with_ancestors(nodes: DataFrame, or_self: bool = False) -> DataFrame:
     """doc_id, node_id and up (path key) and distance of each of a node's ancestors, nearest first."""
     last = "size(path)" if or_self else "size(path) - 1"
-    first = "0"
-    ups = F.expr(f"if({last} < {first}, array(), transform(sequence({first}, {last}), k -> named_struct('up', array_join(slice(path, 1, k), '.'), 'distance', size(path) - k)))")
+    ups = F.expr(f"if({last} < 0, array(), transform(sequence(0, {last}), k -> named_struct('up', array_join(slice(path, 1, k), '.'), 'distance', size(path) - k)))")
     return nodes.withColumn("_u", F.explode(ups)).select("*", "_u.up", "_u.distance").drop("_u")
 
 
@@ -63,11 +62,11 @@ def step(contexts: DataFrame, nodes: DataFrame, axis: str) -> DataFrame:
     if axis in ("following", "preceding"):
         # For each ancestor-or-self, its siblings on that side, and below each of them breadth first.
         ups = with_ancestors(at, or_self=True).where("size(path) - distance > 0")
-        ups = ups.select("doc_id", "ctx", "distance", F.expr("array_join(slice(path, 1, size(path) - distance - 1), '.')").alias("_k"), F.expr("path[size(path) - distance - 1]").alias("_o"))
+        ups = ups.select("doc_id", "ctx", "distance", F.expr("array_join(slice(path, 1, size(path) - distance - 1), '.')").alias("_k"), F.expr("get(path, size(path) - distance - 1)").alias("_o"))
         sub = with_ancestors(nodes.select("doc_id", F.col("node_id").alias("to_id"), "path", F.col("depth").alias("to_depth")), or_self=True).where("size(path) - distance > 0")
-        sub = sub.select("doc_id", "to_id", "to_depth", F.col("path").alias("to_path"), F.expr("array_join(slice(path, 1, size(path) - distance - 1), '.')").alias("_tk"), F.expr("path[size(path) - distance - 1]").alias("_to"))
+        sub = sub.select("doc_id", "to_id", "to_depth", F.col("path").alias("to_path"), F.expr("array_join(slice(path, 1, size(path) - distance - 1), '.')").alias("_tk"), F.expr("get(path, size(path) - distance - 1)").alias("_to"))
         hit = ups.join(sub, (ups.doc_id == sub.doc_id) & (ups._k == sub._tk) & side(F.col("_to"), F.col("_o")))
-        return hit.select(ups.doc_id, "ctx", F.col("to_id").alias("node_id"), (F.col("distance") * 1_000_000_000 + F.col("_to")).alias("o1"), F.col("to_depth").alias("o2"), F.col("to_path").alias("o3"))
+        return hit.select(ups.doc_id, "ctx", F.col("to_id").alias("node_id"), (F.col("distance").cast("long") * (1 << 32) + F.col("_to")).alias("o1"), F.col("to_depth").alias("o2"), F.col("to_path").alias("o3"))
     raise ValueError(f"unknown axis {axis}")
 
 

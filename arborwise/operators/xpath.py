@@ -69,7 +69,10 @@ def _predicate(text: str) -> Predicate:
 
 def _segment(text: str) -> Segment:
     text = text.strip()
-    body, marks = re.match(r"([^\[]*)((?:\[.*\])?)$", text, re.S).groups()
+    parts = re.match(r"([^\[]*)((?:\[.*\])?)$", text, re.S)
+    if not parts:
+        raise XPathError(f"step {text!r}")
+    body, marks = parts.groups()
     body = body.strip()
     axis, test = body.split("::", 1) if "::" in body else {".": ("self", "node()"), "..": ("parent", "node()")}.get(body, ("child", body))
     if axis not in tree.AXES or not test:
@@ -114,7 +117,7 @@ def show(path: tuple[Segment, ...]) -> str:
 
 
 def _holds(p: Predicate) -> Column:
-    value = lambda n: F.expr("filter(fields, f -> f.key = '%s')[0].value" % n.replace("\\", "\\\\").replace("'", "\\'"))
+    value = lambda n: F.expr("get(filter(fields, f -> f.key = '%s'), 0).value" % n.replace("\\", "\\\\").replace("'", "\\'"))
     if p.kind == "present":
         out = F.lit(True)
         for n in p.names:
