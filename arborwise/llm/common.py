@@ -207,14 +207,43 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
 # -- connected components -------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Distinct links up to which one task joins them (16 bytes each); more go through rounds of stars.
+LINKS_IN_A_TASK = 1_000_000
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all links of the one partition: labels run along links until the least has come everywhere."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    ends = [table.column(c).to_numpy() for c in ("a", "b")]
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = at[: len(ends[0])], at[len(ends[0]) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (a, b, root[a], root[b]):
+            np.minimum.at(new, end, low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
+def components(edges: DataFrame, rounds: int = 60, in_a_task: int = LINKS_IN_A_TASK) -> DataFrame:
     """(node, root): the smallest node that links reach, for nodes of (a, b) long pairs.
 
-    Alternates large-star and small-star (Kiveris et al., 2014), whose rounds grow as the
-    logarithm of the longest path; a star around a hub is cut by pre-aggregation.  Each
-    round is a table in the shared folder.
+    Links within a checked size are joined in one task.  Beyond it, large-star and small-star
+    alternate (Kiveris et al., 2014), whose rounds grow as the logarithm of the longest path;
+    a star around a hub is cut by pre-aggregation, and each round is a table in the shared folder.
     """
     edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.count() <= in_a_task:
+        return stash(edges.repartition(1).mapInArrow(_join_all, "node long, root long"))
     seen = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

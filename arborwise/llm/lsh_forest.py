@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, rounds
     met = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
     pairs = stash(met.select("a", "b", "x", "y").mapInArrow(_likely(threshold / 100 - spare), "a long, b long, near double"))
     met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stash(base.join(met, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets(width), "id long, members binary"))
+    # The same plan at every size: the ids grow with the input, so they are not broadcast.
+    sets = stash(base.join(met.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets(width), "id long, members binary"))
     links = None
     for k in range(rounds + 1):
         if k < rounds:  # each document's likeliest pair of those left
