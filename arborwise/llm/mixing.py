@@ -148,13 +148,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     """The rows of docs that the mix takes, each as often as it takes it."""
     chosen = decide(docs, weights, most).where("copies > 0")
     keys = ["no_source", "name", "size", "nth"]
-    left = _keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).alias("d")
-    right = chosen.select(F.col("doc_id").alias("_id"), *(F.col(k).alias(f"_{k}") for k in keys), "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    left, right = _keyed(rows), chosen.select(F.col("doc_id").alias("_id"), *(F.col(k).alias(f"_{k}") for k in keys), "copies")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     for k in keys:
         same &= F.col(k) == F.col(f"_{k}")
-    out = left.join(right, same).withColumn("_again", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select(*docs.columns)
+    return left.join(right, same).withColumn("again", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def digest(spark, sf_dir: str) -> DataFrame:

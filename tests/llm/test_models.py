@@ -84,7 +84,8 @@ def test_mix_meets_targets(spark, monkeypatch, block):
     again = mixing.decide(df.repartition(7)).collect()
     key = lambda rs: sorted((str(r.doc_id), r.name, r.size, r.taken) for r in rs)
     assert key(again) == key(got)
-    assert mixing.mix(df).count() == sum(r.copies for r in got)
+    mixed = mixing.mix(df.selectExpr("*", "'kept' as size", "'too' as name")).collect()
+    assert len(mixed) == sum(r.copies for r in got) and {(r["size"], r["name"]) for r in mixed} == {("kept", "too")}
 
 
 def test_mix_of_nothing(spark):
