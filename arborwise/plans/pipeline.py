@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +32,17 @@ def normalize(raw_nodes: DataFrame, reasoner: Reasoner | None = None) -> Normali
     group's tag and field.
     """
     reasoner = reasoner or RuleReasoner()
-    nodes = with_identity(raw_nodes.where("node_id is not null"))
+    full = with_identity(raw_nodes.where("node_id is not null"))
+    up = F.substring_index(F.try_element_at("signatures", F.lit(-2)), ":", 1)
+    # Parsed once for all the stages below; what an executor loses is parsed again.
+    nodes = full.select("doc_id", "node_id", "path", "name", "fields", "acyclic_lineage", up.alias("up")).persist(StorageLevel.MEMORY_AND_DISK)
     keys = nodes.select(F.explode("fields.key").alias("key")).distinct()
     good = reasoner.basis_fields(keys).where("is_meaningful").select(F.col("key").alias("name"))
     good = good.union(nodes.sparkSession.createDataFrame([("text",)], "name string")).distinct()
     kept = grouping.meaningful(nodes, good)
     groups = kept.groupBy("acyclic_lineage").agg(F.count("*").alias("size"), F.min("name").alias("name"))
     values = kept.select("acyclic_lineage", "name", F.explode("fields").alias("f")).select(F.col("acyclic_lineage").alias("group_id"), "name", F.col("f.key").alias("field"), F.col("f.value").alias("value"))
-    parent = kept.select("acyclic_lineage", F.substring_index(F.try_element_at("signatures", F.lit(-2)), ":", 1).alias("up")).groupBy("acyclic_lineage").agg(F.min("up").alias("up"))
+    parent = kept.groupBy("acyclic_lineage").agg(F.min("up").alias("up"))
     stats = values.join(good.withColumnRenamed("name", "field"), "field", "left_semi").groupBy("group_id", "field").agg(F.count("*").alias("n"), F.approx_count_distinct("value").alias("n_values"), F.min("name").alias("own"))
     stats = stats.join(parent.withColumnRenamed("acyclic_lineage", "group_id"), "group_id").withColumn("tag", F.when(F.col("own") == "#text", F.coalesce("up", F.lit("text"))).otherwise(F.col("own")))
     basis = reasoner.basis_nodes(stats).where("is_content").select("group_id", "field", "image")
@@ -46,7 +50,7 @@ def normalize(raw_nodes: DataFrame, reasoner: Reasoner | None = None) -> Normali
     named = rows.join(basis, ["group_id", "field"])
     item = F.struct("path", "pos", F.struct(F.col("image").alias("key"), F.col("value").alias("value")).alias("f"))
     records = named.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.f).cast(FIELDS).alias("fields"))
-    return Normalized(nodes, good, groups, basis, records)
+    return Normalized(full, good, groups, basis, records)
 
 
 def repeated_records(nodes: DataFrame, least: int = 2) -> DataFrame:
