@@ -7,6 +7,9 @@ per word.  A word hash is 64 bits wide and well mixed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,6 +70,14 @@ def n_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def tidy() -> None:
+    """Gives memory that is free but still held back to the system; workers are used again by other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # -- hashing --------------------------------------------------------------------------------
 
 

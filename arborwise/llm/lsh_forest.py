@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, components, mix, shingles, slices, stash, words
+from .common import U64, components, mix, shingles, slices, stash, tidy, words
 
 TREES, DEPTH, LEAST, REGION, NEXT = 16, 6, 2, 16, 4
 _K = TREES * DEPTH
@@ -62,6 +62,7 @@ def _sign(width: int):
                 two.append(np.int64(mix(s ^ U64(0x6A09E667F3BCC909)).sum(dtype=U64).view(np.int64)) if len(s) else 0)
                 sig.append(signature(s).astype(">u4").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "one", "two", "sig"])
+        tidy()
 
     return run
 

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import slices, stash, tidy
 
 END_ID, SIZE = 2, 1024
 SPECIAL = "<|endoftext|>"
-_MOST_KEPT = 300_000
+_MOST_KEPT = 120_000
 
 
 class _Kept(dict):
@@ -84,20 +84,23 @@ def tokens(ranks_path: str | None, whole_path: str | None) -> Tokens:
 
 def _tokenise(ranks_path: str | None, whole_path: str | None, size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         coder, last = tokens(ranks_path, whole_path), np.uint32(end_id).tobytes()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = coder.ids(text.as_py() or "") + last
-                n = len(ids) // 4
-                cuts = [0, *range(n % size or size, n + 1, size)]
-                for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    part = ids[4 * a : 4 * z]
-                    for row, v in zip(rows, (doc, k, a, z - a, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None), strict=True):
-                        row.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)][: 5 + with_ids], names[: 5 + with_ids])
+            for i, j in slices(batch.column("text")):
+                rows: list[list] = [[], [], [], [], [], []]
+                for doc, text in zip(batch.column("doc_id").slice(i, j - i).to_pylist(), batch.column("text").slice(i, j - i), strict=True):
+                    ids = coder.ids(text.as_py() or "") + last
+                    n = len(ids) // 4
+                    cuts = [0, *range(n % size or size, n + 1, size)]
+                    for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        part = ids[4 * a : 4 * z]
+                        for row, v in zip(rows, (doc, k, a, z - a, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None), strict=True):
+                            row.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)][: 5 + with_ids], names[: 5 + with_ids])
+        tidy()
 
     return run
 
@@ -129,7 +132,7 @@ def patterns(counts: np.ndarray, each: int = 6) -> list[tuple[int, ...]]:
     return list(found)
 
 
-def fit(counts: np.ndarray, made: list[tuple[int, ...]], steps: int = 400) -> np.ndarray:
+def fit(counts: np.ndarray, made: list[tuple[int, ...]], steps: int = 200) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |A x - counts|: accelerated projected gradient."""
     if not made:
         return np.zeros(0)
@@ -174,29 +177,38 @@ def _fill(left: np.ndarray, room: int) -> list[int]:
 
 
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences) for all pieces; counts[n] pieces have length n."""
+    """(lengths of one sequence, how many such sequences) for all pieces; counts[n] pieces have length n.
+
+    By fitted patterns, or by best fit alone where that takes fewer sequences.
+    """
+    return min((_plan(counts, True), _plan(counts, False)), key=lambda made: sum(n for _, n in made))
+
+
+def _plan(counts: np.ndarray, fitted: bool) -> list[tuple[tuple[int, ...], int]]:
     size = len(counts) - 1
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
     if left[size]:
         out.append(((size,), int(left[size])))
         left[size] = 0
-    made = patterns(left)
-    for p, x in sorted(zip(made, fit(left.astype(float), made), strict=True), key=lambda v: -v[1]):
-        use = np.bincount(p, minlength=size + 1)
-        n = min(int(x), int(min(left[k] // use[k] for k in set(p))))
-        if n > 0:
+    # A piece over half of a sequence needs one of its own: these lead, and what they can't use is packed among itself.
+    for least in (size // 2 + 1, 1):
+        made = [p for p in patterns(left) if p[0] >= least] if fitted else []
+        for p, x in sorted(zip(made, fit(left.astype(float), made), strict=True), key=lambda v: (len(v[0]), -v[1])):
+            use = np.bincount(p, minlength=size + 1)
+            n = min(int(x), int(min(left[k] // use[k] for k in set(p))))
+            if n > 0:
+                out.append((p, n))
+                left -= n * use
+        while left[least:].any():
+            a = int(np.flatnonzero(left)[-1])
+            trial = left.copy()
+            trial[a] -= 1
+            p = (a, *_fill(trial, size - a))
+            use = np.bincount(p, minlength=size + 1)
+            n = int(min(left[k] // use[k] for k in set(p)))
             out.append((p, n))
             left -= n * use
-    while left.any():
-        a = int(np.flatnonzero(left)[-1])
-        trial = left.copy()
-        trial[a] -= 1
-        p = (a, *_fill(trial, size - a))
-        use = np.bincount(p, minlength=size + 1)
-        n = int(min(left[k] // use[k] for k in set(p)))
-        out.append((p, n))
-        left -= n * use
     return out
 
 
@@ -224,7 +236,7 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, with_ids: bool
     counts = np.zeros(size + 1, np.int64)
     for length, n in found:
         counts[length] = n
-    blocks = int(counts.sum()) // 50_000 + 1
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // 50_000 + 1)
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
     before = pieces.groupBy("length", "block").count()
     before = before.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("block")) - F.col("count")).drop("count")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, blocks_for, mix, slices, windows, words
+from .common import U64, blocks_for, mix, slices, tidy, windows, words
 
 _PACKED = "bucket int, ids binary, counts binary, hashes binary"
 _LISTED = "home int, ids binary, counts binary, hashes binary"
@@ -92,6 +92,7 @@ def _mapper(width: int, buckets: int, homes: int):
                 h, doc = h[~late], doc[~late]
                 sent = _packed((mix(h + U64(0x5851F42D4C957F2D)) % U64(buckets)).astype(np.int64), doc, h)
                 yield pa.RecordBatch.from_arrays([pa.array(settled[k] + sent[k], pa.int32() if k == "key" else pa.binary()) for k in sent], ["bucket", "ids", "counts", "hashes"])
+        tidy()
 
     return run
 
@@ -121,6 +122,7 @@ def _marker(width: int, schema: pa.Schema):
         owner, known = _unpacked(listed)
         order = np.lexsort((known, owner))
         owner, known = owner[order], known[order]
+        tidy()
         docs, made = docs.combine_chunks(), []
         ids, texts = docs.column("doc_id").combine_chunks(), docs.column("text").combine_chunks()
         for i, j in slices(texts):
