@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import U64, _buffers, mix, slices, words
 
 BITS, META_BITS = 18, 12
-MOST_LABELLED, MOST_POOL, ROUNDS, SURE = 8000, 8000, 3, 0.97
+MOST_LABELLED, MOST_POOL, ROUNDS, SURE = 8000, 4000, 3, 0.97
 META = ("lang", "source", "n_chars")
 
 
@@ -162,19 +162,19 @@ def cotrain(text, meta, n: int, y: np.ndarray, held: np.ndarray, rounds: int = R
 
 def _collected(rows: DataFrame, columns: list[str]):
     """Features of a bounded sample, in the order of doc_id."""
-    table = rows.orderBy("doc_id").toArrow().combine_chunks()
+    table = rows.orderBy("doc_id").toArrow()
     parts, metas, at = [], [], 0
     for batch in table.to_batches():
         for i, j in slices(batch.column("text")):
             part = batch.slice(i, j - i)
             row, bucket, value, dense = text_features(part.column("text"))
-            parts.append((row + at, bucket, value, dense))
+            parts.append(((row + at).astype(np.int32), bucket.astype(np.int32), value.astype(np.float32), dense))
             row, bucket, value = meta_features(part, columns)
             metas.append((row + at, bucket, value))
             at += part.num_rows
     text = tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
     meta = (*(np.concatenate([p[k] for p in metas]) for k in range(3)), np.zeros((at, 0)))
-    return table, at, text, meta
+    return table.drop(["text"]), at, text, meta
 
 
 def fit(docs: DataFrame, labels: DataFrame, good: tuple[str, ...], bad: tuple[str, ...], columns: list[str], most_labelled: int, most_pool: int) -> dict:
