@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, _buffers, mix, slices, words
+from .common import U64, _buffers, mix, slices, tidy, words
 
 BITS, META_BITS = 18, 12
-MOST_LABELLED, MOST_POOL, ROUNDS, SURE = 8000, 4000, 3, 0.97
+MOST_LABELLED, MOST_POOL, ROUNDS, SURE = 6000, 3000, 3, 0.97
 META = ("lang", "source", "n_chars")
 
 
@@ -160,21 +160,42 @@ def cotrain(text, meta, n: int, y: np.ndarray, held: np.ndarray, rounds: int = R
 # -- over the cluster -----------------------------------------------------------------------
 
 
-def _collected(rows: DataFrame, columns: list[str]):
-    """Features of a bounded sample, in the order of doc_id."""
-    table = rows.orderBy("doc_id").toArrow()
-    parts, metas, at = [], [], 0
-    for batch in table.to_batches():
-        for i, j in slices(batch.column("text")):
-            part = batch.slice(i, j - i)
-            row, bucket, value, dense = text_features(part.column("text"))
-            parts.append(((row + at).astype(np.int32), bucket.astype(np.int32), value.astype(np.float32), dense))
-            row, bucket, value = meta_features(part, columns)
-            metas.append((row + at, bucket, value))
-            at += part.num_rows
-    text = tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
-    meta = (*(np.concatenate([p[k] for p in metas]) for k in range(3)), np.zeros((at, 0)))
-    return table.drop(["text"]), at, text, meta
+def _featured(columns: list[str], kept: list[str]):
+    """The features of each document, packed; made on the executors, so that no text goes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column("text")):
+                part = batch.slice(i, j - i)
+                n = part.num_rows
+                row, bucket, value, dense = text_features(part.column("text"))
+                cut = np.r_[0, np.cumsum(np.bincount(row, minlength=n))]
+                _, mbucket, _ = meta_features(part, columns)
+                packed = {
+                    "bucket": [bucket[a:z].astype(np.int32).tobytes() for a, z in zip(cut, cut[1:], strict=False)],
+                    "value": [value[a:z].astype(np.float32).tobytes() for a, z in zip(cut, cut[1:], strict=False)],
+                    "dense": [dense[k].tobytes() for k in range(n)],
+                    "meta": [mbucket[k::n].astype(np.int32).tobytes() for k in range(n)],
+                }
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(v, pa.binary()) for v in packed.values())], [*kept, *packed])
+
+    return run
+
+
+def _collected(rows: DataFrame, columns: list[str], kept: list[str]):
+    """Features of a bounded sample, in the order of doc_id; words of fewer than four documents are left out."""
+    kinds = ", ".join(f"{c} {'long' if c == 'doc_id' else 'int'}" for c in kept)
+    made = rows.mapInArrow(_featured(columns, kept), f"{kinds}, bucket binary, value binary, dense binary, meta binary")
+    table = made.orderBy("doc_id").toArrow()
+    n = table.num_rows
+    join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+    lens = lambda c: np.array([len(x) // 4 for x in table.column(c).to_pylist()], np.int64)
+    row, bucket, value = np.repeat(np.arange(n, dtype=np.int32), lens("bucket")), join("bucket", np.int32), join("value", np.float32)
+    known = np.bincount(bucket, minlength=1 << BITS)[bucket] >= 4
+    text = (row[known], bucket[known], value[known], join("dense", np.float64).reshape(n, -1))
+    each = lens("meta")
+    meta = (np.repeat(np.arange(n), each), join("meta", np.int32), np.repeat(1 / np.maximum(each, 1), each), np.zeros((n, 0)))
+    return table.select(kept), n, text, meta
 
 
 def fit(docs: DataFrame, labels: DataFrame, good: tuple[str, ...], bad: tuple[str, ...], columns: list[str], most_labelled: int, most_pool: int) -> dict:
@@ -191,13 +212,16 @@ def fit(docs: DataFrame, labels: DataFrame, good: tuple[str, ...], bad: tuple[st
         return {h: 0.5 for h in heads}
     chosen = docs.sparkSession.createDataFrame([(r[0], *r[1:]) for r in some] + [(r[0], *[-1] * len(heads)) for r in pool], "doc_id long, " + ", ".join(f"_{h} int" for h in heads))
     full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    table, n, text, meta = _collected(full, columns)
+    table, n, text, meta = _collected(full, columns, ["doc_id", *(f"_{h}" for h in heads)])
+    tidy()
     held = mix(table.column("doc_id").to_numpy().view(U64)) % U64(5) == 0
     out = {}
     for h in heads:
         y = np.array([-2 if v is None else v for v in table.column(f"_{h}").to_pylist()])
         known = np.unique(y[(y >= 0) & ~held])
         out[h] = float(known[0]) if len(known) == 1 else 0.5 if not len(known) else cotrain(text, meta, n, y, held)
+    del table, text, meta
+    tidy()
     return out
 
 
