@@ -222,16 +222,9 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
 LINKS_IN_A_TASK = 1_000_000
 
 
-def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root) of all links of the one partition: labels run along links until the least has come everywhere."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    ends = [table.column(c).to_numpy() for c in ("a", "b")]
-    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
-    a, b = at[: len(ends[0])], at[len(ends[0]) :]
-    root = np.arange(len(nodes))
+def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of the nodes 0 ... n - 1 the least that links (a, b) reach."""
+    root = np.arange(n)
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -240,8 +233,20 @@ def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while (new != new[new]).any():
             new = new[new]
         if (new == root).all():
-            break
+            return root
         root = new
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all links of the one partition: labels run along links until the least has come everywhere."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    ends = [table.column(c).to_numpy() for c in ("a", "b")]
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = at[: len(ends[0])], at[len(ends[0]) :]
+    root = least_reached(a, b, len(nodes))
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
 
 

@@ -3,11 +3,14 @@
 1. Each document's set of distinct word shingles gives its size, a 128-bit set hash and a
    signature of TREES x DEPTH MinHash values.  Equal sets meet by their hash and go on as one.
 2. Each tree is the sorted order of its DEPTH values.  It is dealt out by ranges, so that no
-   prefix, however common, lands in one task.  Candidates are neighbours by longest common
-   prefix: a region deepens until it holds at most REGION documents, which all meet; where
-   the whole depth does not part them, and on the way down, each meets its next neighbours.
-3. A one-byte sketch of the signatures drops pairs that are nearly 5 standard deviations short.
-4. Pairs are confirmed on the full sets, first each document's likeliest ones, then all that
+   prefix, however common, lands in one task; the rows at the ranges' borders go on to a second
+   pass, which meets them across.  All documents of a region by LEAST values meet if they are
+   REGION at most, else all of a region by CROWD values do; each also meets its next neighbours.
+   Where more than REGION documents share CROWD values, they form a crowd, joined with those
+   that it shares documents with.
+3. Within a crowd all pairs are compared on the full sets, block by block.
+4. A one-byte sketch of the signatures drops other pairs that are nearly 5 standard deviations short.
+5. Those left are confirmed on the full sets, first each document's likeliest ones, then all that
    still lie between two components.  A pair within a component is not looked at again.
 
 Components come from confirmed links alone.  Step 2 is the only one that can miss a link;
@@ -27,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, components, mix, shingles, slices, stash, tidy, words
+from .common import U64, components, least_reached, mix, shingles, slices, stash, tidy, words
 
-TREES, DEPTH, LEAST, REGION, NEXT = 16, 6, 2, 16, 4
+TREES, DEPTH, LEAST, CROWD, REGION, NEXT = 16, 6, 2, 3, 16, 4
+#: Documents and shingles of a block of a crowd, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 _K = TREES * DEPTH
 _RNG = np.random.default_rng(20240917)
 _XOR = _RNG.integers(0, 1 << 32, _K, dtype=np.uint32)
@@ -67,43 +72,121 @@ def _sign(width: int):
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted range of the trees: pairs of documents that are neighbours by their common prefix."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    ids = table.column("rep").to_numpy()
-    tree = table.column("tree").to_numpy()
-    values = np.frombuffer(b"".join(table.column("branch").to_pylist()), ">u4").reshape(len(ids), DEPTH)
+def _meet(ids: np.ndarray, tree: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in sorted order: pairs that are neighbours by their common prefix, and (document, first one) of crowds."""
     n = len(ids)
-    same = np.ones(n - 1, bool) & (tree[1:] == tree[:-1])
+    same = tree[1:] == tree[:-1]
     common = np.zeros(n - 1, np.int8)  # length of the common prefix with the next row
     for d in range(DEPTH):
         same &= values[1:, d] == values[:-1, d]
         common += same
-    needed = np.full(n, DEPTH + 1, np.int8)  # depth at which a row's region is small enough
-    for d in range(DEPTH, LEAST - 1, -1):
+    small, crowds = {}, None
+    for d in (LEAST, CROWD):
         cut = np.flatnonzero(np.r_[True, common < d])
         lens = np.diff(np.r_[cut, n])
-        needed[np.repeat(lens <= REGION, lens)] = d
-    a, b = [], []
+        small[d] = np.repeat(lens <= REGION, lens)
+        crowds = np.stack([ids, ids[np.repeat(cut, lens)]], 1)[~small[d]]
+    a, b = [ids[:0]], [ids[:0]]
     low = common.copy()  # least common prefix from a row to the one `gap` further on
     for gap in range(1, REGION):
         if gap > 1:
             low = np.minimum(low[:-1], common[gap - 1 :])
         if not len(low) or low.max() < LEAST:
             break
-        meets = (low >= LEAST) & ((low >= needed[: n - gap]) | (gap <= NEXT))
-        i = np.flatnonzero(meets)
+        deep = low >= CROWD
+        i = np.flatnonzero((low >= LEAST) & np.where(deep, small[CROWD][: n - gap], small[LEAST][: n - gap] | (gap <= NEXT)))
         a.append(ids[i])
         b.append(ids[i + gap])
-    if not a:
-        return
     a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    for i in range(0, len(pairs), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 50_000, k]) for k in (0, 1)], ["a", "b"])
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0), crowds
+
+
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("crowd", pa.bool_()), ("tree", pa.int32()), ("branch", pa.binary())])
+
+
+def _neighbours(borders: bool):
+    """One sorted range of the trees: pairs and crowds and, where asked for, the rows at its borders (b is null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        ids, tree = table.column("rep").to_numpy(), table.column("tree").to_numpy()
+        values = np.frombuffer(b"".join(table.column("branch").to_pylist()), ">u4").reshape(len(ids), DEPTH)
+        for crowd, pairs in enumerate(_meet(ids, tree, values)):
+            for i in range(0, len(pairs), 50_000):
+                part = pairs[i : i + 50_000]
+                none = [pa.nulls(len(part), f.type) for f in (_MET.field("tree"), _MET.field("branch"))]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array([bool(crowd)] * len(part)), *none], schema=_MET)
+        if borders:
+            edge = np.arange(len(ids))
+            edge = pa.array(edge[(edge < REGION) | (edge >= len(ids) - REGION)])
+            rep, at, branch = (table.column(c).take(edge).combine_chunks() for c in ("rep", "tree", "branch"))
+            yield pa.RecordBatch.from_arrays([rep, pa.nulls(len(edge), pa.int64()), pa.nulls(len(edge), pa.bool_()), at.cast(pa.int32()), branch.cast(pa.binary())], schema=_MET)
+
+    return run
+
+
+def _overlaps(doc: np.ndarray, value: np.ndarray, left: int, start: int, n: int) -> np.ndarray:
+    """(left, n - start) sizes of intersections of the first `left` sets with those from `start` on; below the diagonal they may be short."""
+    _, col, df = np.unique(value, return_inverse=True, return_counts=True)
+    out = np.zeros((left, n - start), np.int64)
+    often = df > 32
+    number = np.cumsum(often) - 1
+    at = np.flatnonzero(often[col])
+    d, c = doc[at], number[col[at]]
+    order = np.argsort(c, kind="stable")
+    d, c = d[order], c[order]
+    for k in range(0, int(often.sum()), 4096):  # common shingles: matrix products
+        i, j = np.searchsorted(c, [k, k + 4096])
+        x = np.zeros((n, min(4096, int(often.sum()) - k)), np.float32)
+        x[d[i:j], c[i:j] - k] = 1
+        out += (x[:left] @ x[start:].T).astype(np.int64)
+    at = np.flatnonzero((df > 1)[col] & ~often[col])
+    d, c = doc[at], col[at]
+    order = np.lexsort((d, c))
+    d, c = d[order], c[order]
+    for gap in range(1, 32):  # rare ones: pair by pair
+        i = np.flatnonzero(c[gap:] == c[:-gap])
+        if not len(i):
+            break
+        x, y = d[i], d[i + gap]
+        both = (x < left) & (y >= start)
+        out += np.bincount(x[both] * (n - start) + y[both] - start, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _crowd(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Two blocks of a crowd, or one with itself: all pairs are compared; links to the least document that links reach."""
+        table = table.sort_by([("home", "ascending"), ("node", "ascending")])
+        ids, home, n = table.column("node").to_numpy(), table.column("home").to_numpy(), table.num_rows
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        left, start = (n, 0) if lo == hi else (int((home == lo).sum()), int((home == lo).sum()))
+        sets = [np.frombuffer(x.as_py(), U64) for x in table.column("members")]
+        size = np.array([len(x) for x in sets], np.int64)
+        inter = _overlaps(np.repeat(np.arange(n), size), np.concatenate(sets), left, start, n)
+        linked = 100 * inter >= threshold * (size[:left, None] + size[None, start:] - inter)
+        a, b = np.nonzero(np.triu(linked, 1) if lo == hi else linked)
+        root = least_reached(a, b + start, n)
+        at = np.flatnonzero(root != np.arange(n))
+        return pa.table({"a": ids[at], "b": ids[root[at]]})
+
+    return run
+
+
+def _within(crowds: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links that join what the links of all pairs within each crowd (node, root) do."""
+    rows = crowds.join(sets.select(F.col("id").alias("node"), "members"), "node")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("members") / 8).alias("s"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int")
+    large = sizes.select("root", blocks.alias("blocks")).where("blocks > 1")  # few: those of a block are left out
+    rows = rows.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), "home", "node", "members")
+    return rows.groupBy("root", "lo", "hi").applyInArrow(_crowd(threshold), "a long, b long")
 
 
 def _likely(least: float):
@@ -162,14 +245,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, rounds
     branches = branches.select("rep", "tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("branch"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), TREES)
     ordered = branches.repartitionByRange(parts, "tree", "branch", "rep").sortWithinPartitions("tree", "branch", "rep")
-    pairs = ordered.mapInArrow(_neighbours, "a long, b long").distinct()
+    kind = "a long, b long, crowd boolean, tree int, branch binary"
+    first = stash(ordered.mapInArrow(_neighbours(True), kind))
+    edges = first.where("branch is not null").select(F.col("a").alias("rep"), "tree", "branch")
+    across = edges.repartition(TREES, "tree").sortWithinPartitions("tree", "branch", "rep").mapInArrow(_neighbours(False), kind)
+    found = stash(first.where("branch is null").union(across).select("a", "b", "crowd"))
+    crowds = components(found.where("crowd").select("a", "b"))
+    pairs = found.where("not crowd").select("a", "b").distinct()
     sketch = reps.select("rep", F.expr(f"unhex(array_join(transform(sequence(1, {_K}), i -> hex(substring(sig, 4 * i, 1))), ''))").alias("sketch"))
-    met = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
+    sketch = sketch.join(crowds.withColumnRenamed("node", "rep"), "rep", "left")
+    for side, as_ in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sketch.select(F.col("rep").alias(side), F.col("sketch").alias(as_), F.col("root").alias(f"r{side}")), side)
+    met = pairs.where("ra is null or rb is null or ra <> rb")
     pairs = stash(met.select("a", "b", "x", "y").mapInArrow(_likely(threshold / 100 - spare), "a long, b long, near double"))
-    met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowds.select("node")).distinct()
     # The same plan at every size: the ids grow with the input, so they are not broadcast.
     sets = stash(base.join(met.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets(width), "id long, members binary"))
-    links = None
+    links = stash(_within(crowds, sets, threshold))
     for k in range(rounds + 1):
         if k < rounds:  # each document's likeliest pair of those left
             best = F.max(F.struct("near", F.col("a").alias("a"), F.col("b").alias("b"))).alias("p")
@@ -177,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, rounds
         else:
             turn = pairs
         new = _confirmed(turn, sets, threshold)
-        links = stash(new if links is None else links.union(new))
+        links = stash(links.union(new))
         roots = components(links)
         if k < rounds:
             pairs = pairs.join(turn.select("a", "b"), ["a", "b"], "left_anti")

@@ -109,3 +109,41 @@ def test_lsh_forest_of_odd_tables(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in lsh_forest.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, None, True), (1, 1, True), (1, 1, True), (2, 2, True)], key=str)
     assert lsh_forest.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [4, 300])
+def test_lsh_forest_of_a_crowd(spark, parts):
+    """Distinct variants of one text, thousands or a few; with 300 ranges the few have almost one each."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for _ in range(2500 if parts == 4 else 18):
+        w = list(base)
+        for _ in range(rng.choice([2, 3, 4]) if parts == 4 else 1):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
+        docs.append(" ".join(w))
+    sets = [shingle_set(t, 4) for t in docs]
+    number = {}
+    masks = [sum(1 << number.setdefault(x, len(number)) for x in s) for s in sets]
+    links = []
+    for i, m in enumerate(masks):
+        for j in range(i):
+            inter = (m & masks[j]).bit_count()
+            if 100 * inter >= 80 * (len(sets[i]) + len(sets[j]) - inter):
+                links.append((i, j))
+    want = dict(enumerate(roots(len(docs), links)))
+    assert 1 < len(set(want.values())) < len(docs) if parts == 4 else len(set(want.values())) == 1
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(df, width=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+
+
+def test_crowds_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "BLOCK", 16)
+    test_lsh_forest(spark)
