@@ -170,6 +170,25 @@ def test_lm_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-4
 
 
+def test_lm_learns_every_feature_of_every_token():
+    """Three interleaved chains: only the word three back tells the next."""
+    rng = np.random.default_rng(4)
+    after = rng.permutation(20)
+    texts = []
+    for _ in range(200):
+        w = rng.integers(0, 20, 3).tolist()
+        while len(w) < 150:
+            w.append(int(after[w[-3]]))
+        texts.append(" ".join(f"v{k}" for k in w))
+    tok, first = maxent.tokens(pa.array(texts))
+    prior = maxent.priors(np.bincount(maxent.slot(tok), minlength=maxent.SLOTS) + 1.0)
+    weights, met = np.zeros((1 << maxent.BITS, maxent.WAYS), np.float32), np.zeros(1 << maxent.BITS, np.int64)
+    base = maxent.log10_slots(weights, prior, tok, first).mean()
+    maxent.learn(weights, met, prior, tok, first)
+    assert met.sum() == 4 * 3 * len(tok)
+    assert maxent.log10_slots(weights, prior, tok, first).mean() > base + 0.3
+
+
 def test_lm_base_and_gain(spark):
     rng = random.Random(11)
     langs = [[f"{k}{i}" for i in range(60)] for k in "pqrs"]
