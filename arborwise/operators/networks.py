@@ -49,6 +49,8 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "id", left: str =
         label = new.select("id", "label")
         if moved:
             break
+    else:
+        raise RuntimeError("components did not settle")
     return label.select(F.col("id").alias(key), F.col("label").alias("component"))
 
 

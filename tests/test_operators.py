@@ -188,3 +188,11 @@ def test_stream_ingest(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).select("doc_id").distinct().count() == 2
     assert c.read("documents").count() == 1
+
+
+def test_components_that_do_not_settle(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(12)], "id long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(11)], "left long, right long")
+    with pytest.raises(RuntimeError):
+        networks.components(nodes, edges, most_rounds=1).collect()
+    assert {r.component for r in networks.components(nodes, edges).collect()} == {0}
