@@ -15,6 +15,7 @@ the input are not carried.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,19 @@ from .common import slices, stash, tidy
 END_ID, SIZE = 2, 1024
 SPECIAL = "<|endoftext|>"
 _MOST_KEPT = 120_000
+#: What keeps a text from being looked up word by word: other white space than blanks and newlines
+#: (Python's \s holds all that the pattern's does, and more), two in a row, or one at either end.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
+
+
+def _plain(text: str) -> bool:
+    """Only single blanks and newlines, each between two other characters."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS):
+        return False
+    if text.isascii():
+        return not any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    return not _OTHER_SPACE.search(text)
 
 
 class _Kept(dict):
@@ -65,7 +79,7 @@ class Tokens:
 
                 self.whole = Tokenizer.from_file(self.whole_path)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if not _plain(text):
             return np.array(self.encode(text), "<u4").tobytes()
         lines = []
         for line in text.split("\n"):
@@ -177,14 +191,7 @@ def _fill(left: np.ndarray, room: int) -> list[int]:
 
 
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences) for all pieces; counts[n] pieces have length n.
-
-    By fitted patterns, or by best fit alone where that takes fewer sequences.
-    """
-    return min((_plan(counts, True), _plan(counts, False)), key=lambda made: sum(n for _, n in made))
-
-
-def _plan(counts: np.ndarray, fitted: bool) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of one sequence, how many such sequences) for all pieces; counts[n] pieces have length n."""
     size = len(counts) - 1
     left = counts.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
@@ -193,7 +200,7 @@ def _plan(counts: np.ndarray, fitted: bool) -> list[tuple[tuple[int, ...], int]]
         left[size] = 0
     # A piece over half of a sequence needs one of its own: these lead, and what they can't use is packed among itself.
     for least in (size // 2 + 1, 1):
-        made = [p for p in patterns(left) if p[0] >= least] if fitted else []
+        made = [p for p in patterns(left) if p[0] >= least]
         for p, x in sorted(zip(made, fit(left.astype(float), made), strict=True), key=lambda v: (len(v[0]), -v[1])):
             use = np.bincount(p, minlength=size + 1)
             n = min(int(x), int(min(left[k] // use[k] for k in set(p))))
