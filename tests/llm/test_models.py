@@ -107,16 +107,18 @@ def test_tokens_are_those_of_the_tokenizer():
         assert np.frombuffer(coder.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+WHOLE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @settings(max_examples=1500, deadline=None)
 @given(st.text(st.sampled_from("ab1'sé漢.\t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u2028\u3000     \n\n"), max_size=14))
 def test_tokens_of_any_white_space(text):
-    whole = test_tokens_of_any_white_space.__dict__.setdefault("whole", Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
-    assert np.frombuffer(packing.tokens(None, None).ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.tokens(None, None).ids(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
 def test_tokens_of_runs_and_as_many_other_blanks():
-    whole, text = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "x\n\n\nb\tc\td"
-    assert np.frombuffer(packing.tokens(None, None).ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    text = "x\n\n\nb\tc\td"
+    assert np.frombuffer(packing.tokens(None, None).ids(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=25, deadline=None)
