@@ -75,7 +75,7 @@ def digest(spark, sf_dir: str) -> DataFrame:
     """The contract's columns, read back from the formatted examples of all conversations."""
     text = "</s>[INST] ok [/INST]"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    more = spark.sql("SELECT -1L AS conv_id, * FROM VALUES (0L, 'user', :text), (1L, 'assistant', :text) AS t(turn, role, text)", args={"text": text})
     made = chat_examples(rows.unionByName(more))
     turns = F.when(F.col("last"), read_back(F.col("formatted")))
     loss = F.when(F.col("target_turn").isNotNull(), unescaped(F.expr("substring(formatted, loss_start + 1, loss_length)")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,15 +31,17 @@ SLICE_BYTES = 3 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder of the cluster; a temporary one only where none is set and all runs on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             folder = kept.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="arborwise-")
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return folder.rstrip("/")
 
 
@@ -50,6 +53,23 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the scratch tables that df reads directly; only for tables that nothing reads any more."""
+    folder, jvm = scratch_dir(df.sparkSession), df.sparkSession._jvm
+    for part in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/stash-" in f}:
+        path = jvm.org.apache.hadoop.fs.Path(part)
+        if path.getParent().getName() == folder.rsplit("/", 1)[-1]:
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever case they use."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of what df holds; for a file scan the files' bytes."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -58,7 +78,7 @@ def input_bytes(df: DataFrame) -> int:
 def blocks_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:
     """Number of blocks so that one holds about bytes_each of input; at least one per shuffle partition."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(least, input_bytes(df) // bytes_each + 1), 1 << 20))
+    return int(max(least, input_bytes(df) // bytes_each + 1))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -106,6 +126,8 @@ def inverse(base: np.uint64) -> np.uint64:
     return U64(pow(int(base), -1, 1 << 64))
 
 
+#: A polynomial modulo 2**64 can be made to collide by long regular words: longer ones are hashed by BLAKE2.
+_LONG = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -181,6 +203,8 @@ def words(texts: pa.Array, lower: bool = False, table: np.ndarray | None = None)
     place = np.arange(int(lens.sum())) - np.repeat(packed, lens)
     each = (data[solid].astype(U64) + U64(1)) * powers(_BASE, int(lens.max()))[place]
     h = mix(np.add.reduceat(each, packed) + lens.astype(U64) * _LENGTH)
+    for i in np.flatnonzero(lens > _LONG).tolist():
+        h[i] = U64(int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]], digest_size=8).digest(), "little"))
     return Words(h, begin, end, first, data)
 
 

@@ -9,7 +9,8 @@
    listed are marked, and overlapping ones merge into maximal intervals.
 
 Equality of windows is that of 64 hash bits and of the bucket, which comes from further bits
-of an independent mix: 64 + log2(buckets) bits, where buckets grow with the input.
+of an independent mix: 64 + log2(buckets) bits, where buckets grow with the input.  A word's
+hash is a polynomial with a finaliser, and BLAKE2 for long words, which could be made to collide.
 
 Defined results: null text has no words; a document of fewer than `width` words keeps all;
 documents with null doc_id are neither smaller nor larger than any other and keep all; rows

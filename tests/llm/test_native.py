@@ -56,12 +56,16 @@ def test_url_filter_matches_brute_force(spark):
     rng = random.Random(3)
     hosts, paths = ["com", "example.com", "net", "a.net", ""], ["/", "/en/", "/en", "/e", "/en/x", ""]
     many = [(rng.choice(hosts), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(12)]
-    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
+    df = spark.createDataFrame([(i, u, "old", 1, 2, 3) for i, u in enumerate(URLS)], "page_id long, url string, rule string, hit int, best int, _hit int")
     for rules in (url_filter.RULES, many):
         want = {i: brute(u, rules) for i, u in enumerate(URLS)}
         for most in (1000, 0):
-            got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(df, rules, most_rules=most).collect()}
-            assert got == want
+            rows = url_filter.url_filter(df, [*rules, (None, "/", "block"), ("com", None, "block")], most_rules=most).collect()
+            assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == want
+            assert all((r.hit, r.best, r._hit) == (1, 2, 3) for r in rows)
+            table = spark.createDataFrame([*rules, (None, "/", "block"), ("com", "/", None)], "host string, path string, verdict string")
+            rows = url_filter.url_filter(df, table, most_rules=most).collect()
+            assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == want
     assert url_filter.url_filter(df.limit(0), url_filter.RULES).count() == 0
 
 
