@@ -10,8 +10,10 @@ sees a whole source.  The last one or two of a source land on the nearest total
 Draws depend on SEED, source and block alone: reruns agree.
 
 Defined results: null text has size 0 and takes 0; the null source is a source, the last in
-order; rows that repeat a doc_id are documents of their own; if all sizes are 0 so are all
-targets; an empty table gives an empty result.
+order; rows that repeat a doc_id are documents of their own, told apart by what they hold, and
+equal rows are alike; if all sizes are 0 so are all targets; an empty table gives an empty
+result; a table without further columns and one with any, whatever their names, are mixed
+alike, and `mix` returns the columns it was given.
 """
 
 from __future__ import annotations
@@ -96,31 +98,54 @@ def _settle(last: bool, turn: int):
     return run
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (one row each) with their place by code point, null last: sorted ranges, each ranked on its own."""
+    spark = sources.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stash(sources.repartitionByRange(parts, "no_source", "name").withColumn("range", F.spark_partition_id()))
+    before, offsets = 0, [0] * parts
+    for k, n in sorted(dealt.groupBy("range").count().collect()):  # a number per range
+        offsets[k], before = before, before + n
+    own = F.row_number().over(Window.partitionBy("range").orderBy("no_source", "name"))
+    return dealt.withColumn("rank", own - 1 + F.get(F.array(*(F.lit(x) for x in offsets)), F.col("range"))).drop("range")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
-    """Per source: n_docs, source_size and target; excess over `most` times a source's size is shared out again by weight."""
-    one = sizes.groupBy("no_source", "name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    # From here on one row per source.
-    rank = F.row_number().over(Window.orderBy("no_source", "name")) - 1
-    one = one.withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(rank, F.lit(len(weights)))))
-    one = one.withColumn("most", F.col("source_size") * float(most)).withColumn("total", F.sum("source_size").over(Window.partitionBy()))
-    order = Window.orderBy(F.col("most") / F.col("weight"), "no_source", "name")
-    before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    level = (F.col("total") - before) / F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    one = one.withColumn("level", level).withColumn("open", F.col("most") / F.col("weight") >= F.col("level"))
-    level = F.max(F.when(F.col("open"), F.col("level"))).over(Window.partitionBy())
-    return one.withColumn("target", F.least("most", F.coalesce(F.col("weight") * level, F.col("most")))).select("no_source", "name", "n_docs", "source_size", "target")
+    """Per source: n_docs, source_size and target; excess over `most` times a source's size is shared out again by weight.
+
+    The level (target per weight of the sources that are not at their most) rises as sources reach
+    their most; each step is one aggregate over the sources, and ends when none is above.
+    """
+    one = ranked(sizes.groupBy("no_source", "name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
+    one = one.withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod("rank", F.lit(len(weights)))))
+    one = stash(one.withColumn("most", F.col("source_size") * float(most)).drop("rank"))
+    total, level, full = one.agg(F.sum("source_size").cast("double")).first()[0] or 0.0, 0.0, -1
+    while True:
+        over = F.col("most") < F.col("weight") * level
+        capped, weight, n = one.agg(F.sum(F.when(over, F.col("most")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.sum(over.cast("long"))).first()
+        if n == full or not weight:
+            break
+        level, full = (total - capped) / weight, n
+    return one.withColumn("target", F.least("most", F.col("weight") * level)).select("no_source", "name", "n_docs", "source_size", "target")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with no_source, name, size and nth; nth tells rows of one doc_id, source and size apart by what they hold."""
+    whole = ["row"] if not any(k in dict(docs.dtypes)["row"] for k in ("map<", "variant")) else ["text"]
     name = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    docs = docs.withColumns({"no_source": F.col("source").isNull(), "name": name, "size": n_words(F.col("text"))})
-    same = Window.partitionBy("doc_id", "no_source", "name", "size").orderBy(F.lit(0))
+    docs = docs.withColumns({"no_source": F.col("source").isNull(), "name": name, "size": n_words(F.col("text")), "tie": F.struct(F.xxhash64(*whole), F.hash(*whole))})
+    same = Window.partitionBy("doc_id", "no_source", "name", "size").orderBy("tie")
     return docs.withColumn("nth", F.row_number().over(same))
 
 
+def _given(docs: DataFrame) -> DataFrame:
+    """doc_id, source and text, and the row itself, in which no name can clash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+
+
 def decide(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """doc_id, no_source, name, size, nth, source_size, target, copies and taken of every document."""
-    sizes = stash(_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").withColumn("source", F.col("source").cast("string"))).select("doc_id", "no_source", "name", "size", "nth"))
+    sizes = stash(_keyed(_given(docs)).select("doc_id", "no_source", "name", "size", "nth"))
     aims = stash(targets(sizes, weights, most))
     sizes = sizes.join(aims, ["no_source", "name"])
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
@@ -148,8 +173,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     """The rows of docs that the mix takes, each as often as it takes it."""
     chosen = decide(docs, weights, most).where("copies > 0")
     keys = ["no_source", "name", "size", "nth"]
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    left, right = _keyed(rows), chosen.select(F.col("doc_id").alias("_id"), *(F.col(k).alias(f"_{k}") for k in keys), "copies")
+    left, right = _keyed(_given(docs)), chosen.select(F.col("doc_id").alias("_id"), *(F.col(k).alias(f"_{k}") for k in keys), "copies")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     for k in keys:
         same &= F.col(k) == F.col(f"_{k}")
