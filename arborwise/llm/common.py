@@ -71,8 +71,12 @@ def fresh(name: str, *frames: DataFrame) -> str:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what df holds; for a file scan the files' bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of what df holds, for a file scan the files' bytes; counted where it has none (local rows)."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known < 1 << 60:
+        return known
+    each = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes), F.lit(8))
+    return int(df.agg(F.sum(each.cast("long"))).first()[0] or 0)
 
 
 def blocks_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:

@@ -1,5 +1,6 @@
 """Chat formatting, URL filter and Merkle fingerprints."""
 
+import bisect
 import hashlib
 import random
 
@@ -88,11 +89,7 @@ def test_fingerprints(spark, tmp_path):
 
 def test_next_over_many_ranges(spark):
     ids = random.Random(5).sample(range(10**9), 3000)
-    spark.conf.set("spark.sql.shuffle.partitions", "300")
-    try:
-        got = {r.doc_id: r.next_text for r in merkle.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = {r.doc_id: r.next_text for r in merkle.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string"), 200).collect()}
     order = sorted(ids, reverse=True)
     assert got == {d: str(order[(i + 1) % len(order)]) for i, d in enumerate(order)}
 
@@ -105,6 +102,86 @@ def test_next_of_nulls_and_nothing(spark):
 
 def test_differing_paragraphs(spark):
     df = spark.createDataFrame([("a\nb\nc", "a\nX\nc")], "t string, u string")
-    made = merkle.with_tree(merkle.with_tree(df, "t", "t"), "u", "u")
-    assert made.select(merkle.differing(F.col("t_fingerprint"), F.col("u_fingerprint")).alias("d")).first().d == [1]
-    assert made.select(merkle.differing(F.col("t_fingerprint"), F.col("t_fingerprint")).alias("d")).first().d == []
+    made = merkle.with_tree(merkle.with_tree(df, "t", "ft"), "u", "fu")
+    assert made.select(merkle.differing(F.col("ft"), F.col("fu")).alias("d")).first().d == [1]
+    assert made.select(merkle.differing(F.col("ft"), F.col("ft")).alias("d")).first().d == []
+
+
+def md5(x):
+    return hashlib.md5(x.encode()).hexdigest()
+
+
+def brute_tree(text):
+    """(root, sections: (hash, paragraphs: (hash, pieces)))."""
+    sections, open_ = [], []
+    for line in text.split("\n"):
+        pieces, run = [], []
+        for w in line.split(" "):
+            run.append(w)
+            if md5(w)[0] < "4":
+                pieces.append(run)
+                run = []
+        pieces = [" ".join(x).strip(" ") for x in [*pieces, run]]
+        h = hashlib.sha256(line.encode()).hexdigest()
+        open_.append((h, tuple(md5(x)[:6] for x in pieces if x)))
+        if not line.strip(" ") or line.startswith("#") or h[0] < "4":
+            sections.append(open_)
+            open_ = []
+    sections += [open_] if open_ else []
+    made = [(hashlib.sha256("".join(h for h, _ in s).encode()).hexdigest(), s) for s in sections]
+    return hashlib.sha256("".join(h for h, _ in made).encode()).hexdigest(), made
+
+
+def brute_fingerprint(text):
+    root, sections = brute_tree(text)
+    return root + "|" + ";".join(h[:16] + ":" + ",".join(p[:16] + "=" + "".join(x) for p, x in s) for h, s in sections)
+
+
+def brute_likeness(one, two):
+    (ra, a), (rb, b) = brute_tree(one), brute_tree(two)
+    if ra == rb:
+        return 1.0
+    a, b = ({h: s for h, s in x} for x in (a, b))
+    n = sum(len(x) for h in a.keys() & b.keys() for _, x in a[h])
+    pa, pb = (({p: x for h in x.keys() - y.keys() for p, x in x[h]}) for x, y in ((a, b), (b, a)))
+    n += sum(len(pa[p]) for p in pa.keys() & pb.keys())
+    la, lb = ({v for p in x.keys() - y.keys() for v in x[p]} for x, y in ((pa, pb), (pb, pa)))
+    total = 2 * n + len(la) + len(lb)
+    return 2 * (n + len(la & lb)) / total if total else 0.0
+
+
+def test_fingerprints_and_likeness_match_brute_force(spark):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(60)] + ["δ", "#", "x\u0001y"]
+    texts = ["", " ", "\n", "  \n\n", "a"]
+    for _ in range(60):
+        t = [rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n", "\n\n"]) for _ in range(rng.randint(1, 120))]
+        texts.append("".join(t))
+        u = list(t)
+        for _ in range(rng.randint(0, 4)):
+            u.insert(rng.randrange(len(u) + 1), rng.choice(words) + " ")
+        texts.append("".join(u))
+    pairs = list(zip(texts, texts[1:])) + [(a, rng.choice(texts)) for a in texts]
+    df = spark.createDataFrame(pairs, "a string, b string").selectExpr("*", "1 AS paragraphs", "2 AS ends", "3 AS fingerprint", "4 AS own_sections")
+    made = merkle.with_likeness(merkle.with_tree(merkle.with_tree(df, "a", "fa"), "b", "fb"), "fa", "fb", "near")
+    for r in made.collect():
+        if "\u0001" not in r.a + r.b:
+            assert r.fa == brute_fingerprint(r.a) and abs(r.near - brute_likeness(r.a, r.b)) < 1e-12
+        assert (r.paragraphs, r.ends, r.fingerprint, r.own_sections) == (1, 2, 3, 4)
+    own = merkle.fingerprints(df, "a").select("a", "fingerprint", "paragraphs").collect()
+    assert all(r.paragraphs == 1 and ("\u0001" in r.a or r.fingerprint == brute_fingerprint(r.a)) for r in own)
+
+
+def test_one_word_changes_few_pieces(spark):
+    rng = random.Random(15)
+    w = [f"word{rng.randrange(5000)}" for _ in range(300)]
+    df = spark.createDataFrame([(" ".join(w), " ".join(["new", *w])), (" ".join(w), " ".join(w[:150] + w[151:]))], "a string, b string")
+    made = merkle.with_likeness(merkle.with_tree(merkle.with_tree(df, "a", "fa"), "b", "fb"), "fa", "fb", "near")
+    assert all(r.near > 0.95 for r in made.collect())
+
+
+def test_bounds_of_several_levels(spark):
+    bounds = sorted(random.Random(16).sample(range(10**6), 40_000))
+    values = [-1, 0, *bounds[::997], *(b + 1 for b in bounds[::1009]), 10**6 + 1]
+    got = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long").select("v", merkle._bucket(bounds, F.col("v")).alias("b")).collect()
+    assert {r.v: r.b for r in got} == {v: bisect.bisect_left(bounds, v) for v in values} | {None: -1}
