@@ -143,7 +143,7 @@ def brute_likeness(one, two):
         return 1.0
     a, b = ({h: s for h, s in x} for x in (a, b))
     n = sum(len(x) for h in a.keys() & b.keys() for _, x in a[h])
-    pa, pb = (({p: x for h in x.keys() - y.keys() for p, x in x[h]}) for x, y in ((a, b), (b, a)))
+    pa, pb = ({p: leaves for h in x.keys() - y.keys() for p, leaves in x[h]} for x, y in ((a, b), (b, a)))
     n += sum(len(pa[p]) for p in pa.keys() & pb.keys())
     la, lb = ({v for p in x.keys() - y.keys() for v in x[p]} for x, y in ((pa, pb), (pb, pa)))
     total = 2 * n + len(la) + len(lb)
