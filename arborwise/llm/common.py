@@ -246,8 +246,8 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
 # -- connected components -------------------------------------------------------------------
 
 
-#: Distinct links up to which one task joins them (16 bytes each); more go through rounds of stars.
-LINKS_IN_A_TASK = 1_000_000
+#: Links of a block that a task contracts at once (16 bytes each).
+LINKS_A_BLOCK = 1_000_000
 
 
 def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -265,29 +265,39 @@ def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root) of all links of the one partition: labels run along links until the least has come everywhere."""
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one block as (a, b): each node but the least to the least that the block's links reach."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     table = pa.Table.from_batches(parts)
     ends = [table.column(c).to_numpy() for c in ("a", "b")]
     nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
-    a, b = at[: len(ends[0])], at[len(ends[0]) :]
-    root = least_reached(a, b, len(nodes))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+    root = least_reached(at[: len(ends[0])], at[len(ends[0]) :], len(nodes))
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    for i in range(0, len(own), 100_000):
+        k = own[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k]), pa.array(nodes[root[k]])], ["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 60, in_a_task: int = LINKS_IN_A_TASK) -> DataFrame:
-    """(node, root): the smallest node that links reach, for nodes of (a, b) long pairs.
+def components(edges: DataFrame, rounds: int = 60, block: int = LINKS_A_BLOCK) -> DataFrame:
+    """(node, root): the smallest node that links reach, for all nodes of (a, b) long pairs but the smallest of each component.
 
-    Links within a checked size are joined in one task.  Beyond it, large-star and small-star
-    alternate (Kiveris et al., 2014), whose rounds grow as the logarithm of the longest path;
-    a star around a hub is cut by pre-aggregation, and each round is a table in the shared folder.
+    Links are dealt into blocks of about `block`, and each block is contracted to stars; this goes
+    on with what is left while it shrinks, and is all where one block holds them.  Stars of several
+    blocks are then joined by large-star and small-star steps (Kiveris et al., 2014), whose rounds
+    grow as the logarithm of the longest path; each round is a table in the shared folder.
     """
     edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if edges.count() <= in_a_task:
-        return stash(edges.repartition(1).mapInArrow(_join_all, "node long, root long"))
+    n = edges.count()
+    while n:
+        parts = -(-n // block)
+        edges = stash(edges.repartition(parts, "a", "b").mapInArrow(_contract, "a long, b long"))
+        before, n = n, edges.count()
+        if parts == 1:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if n > 0.8 * before:
+            break
     seen = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -17,8 +17,9 @@ Components come from confirmed links alone.  Step 2 is the only one that can mis
 the README has the recall measured against all pairs.
 
 Defined results: null text and texts without words have no shingles and no links; rows that
-repeat a doc_id are one document with one of the texts; rows with null doc_id stay alone
-with null component; an empty table gives an empty result.
+repeat a doc_id are one document, with the text of fewest shingles (then least set hash); rows
+with null doc_id stay alone with null component; an empty table gives an empty result; further
+columns are not carried.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ from pyspark.sql import functions as F
 from .common import U64, components, least_reached, mix, shingles, slices, stash, tidy, words
 
 TREES, DEPTH, LEAST, CROWD, REGION, NEXT = 16, 6, 2, 3, 16, 4
+#: Rows of the sorted trees that a range holds, about: the number of ranges grows with the documents.
+RANGE = 500_000
+#: Sets that hold more than this share of all documents are at most its inverse, so these few are broadcast.
+HOT = 0.001
 #: Documents and shingles of a block of a crowd, about.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 _K = TREES * DEPTH
@@ -57,13 +62,18 @@ def _documents(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i + k, shingles(w.hashes[w.first[k] : w.first[k + 1]], width)
 
 
+def _one(s: np.ndarray) -> int:
+    """Half of the hash of a set; 0 for the empty one."""
+    return int(mix(s).sum(dtype=U64).view(np.int64)) if len(s) else 0
+
+
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, sig = [], [], [], []
             for _, s in _documents(batch.column("text"), width):
                 n.append(len(s))
-                one.append(np.int64(mix(s).sum(dtype=U64).view(np.int64)) if len(s) else 0)
+                one.append(_one(s))
                 two.append(np.int64(mix(s ^ U64(0x6A09E667F3BCC909)).sum(dtype=U64).view(np.int64)) if len(s) else 0)
                 sig.append(signature(s).astype(">u4").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "one", "two", "sig"])
@@ -205,8 +215,12 @@ def _likely(least: float):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for _, s in _documents(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "members"])
+            ids, sets, wanted = [], [], batch.column("one").to_pylist()
+            for i, s in _documents(batch.column("text"), width):
+                if _one(s) == wanted[i]:  # of rows that repeat a doc_id, the text that stands for it
+                    ids.append(i)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(sets, pa.binary())], ["id", "members"])
 
     return run
 
@@ -239,11 +253,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, rounds
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stash(base.mapInArrow(_sign(width), "doc_id long, n_shingles long, one long, two long, sig binary"))
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    groups = known.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    reps = stash(groups.select("rep", "sig").dropDuplicates(["rep"]))
+    key = ["n_shingles", "one", "two"]
+    groups = known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("n"))
+    groups = stash(groups)
+    least = groups.groupBy("rep").agg(F.min(F.struct(*key, "sig")).alias("s"))
+    reps = stash(least.select("rep", "s.one", "s.sig"))
     branches = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
     branches = branches.select("rep", "tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("branch"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), TREES)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.count() * TREES // RANGE + 1)
     ordered = branches.repartitionByRange(parts, "tree", "branch", "rep").sortWithinPartitions("tree", "branch", "rep")
     kind = "a long, b long, crowd boolean, tree int, branch binary"
     first = stash(ordered.mapInArrow(_neighbours(True), kind))
@@ -251,6 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, rounds
     across = edges.repartition(TREES, "tree").sortWithinPartitions("tree", "branch", "rep").mapInArrow(_neighbours(False), kind)
     found = stash(first.where("branch is null").union(across).select("a", "b", "crowd"))
     crowds = components(found.where("crowd").select("a", "b"))
+    crowds = stash(crowds.union(crowds.select(F.col("root").alias("node"), "root").distinct()))
     pairs = found.where("not crowd").select("a", "b").distinct()
     sketch = reps.select("rep", F.expr(f"unhex(array_join(transform(sequence(1, {_K}), i -> hex(substring(sig, 4 * i, 1))), ''))").alias("sketch"))
     sketch = sketch.join(crowds.withColumnRenamed("node", "rep"), "rep", "left")
@@ -258,9 +276,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, rounds
         pairs = pairs.join(sketch.select(F.col("rep").alias(side), F.col("sketch").alias(as_), F.col("root").alias(f"r{side}")), side)
     met = pairs.where("ra is null or rb is null or ra <> rb")
     pairs = stash(met.select("a", "b", "x", "y").mapInArrow(_likely(threshold / 100 - spare), "a long, b long, near double"))
-    met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowds.select("node")).distinct()
+    met = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(crowds.select("node")).distinct().join(reps.select("rep", "one"), "rep").withColumnRenamed("rep", "doc_id")
     # The same plan at every size: the ids grow with the input, so they are not broadcast.
-    sets = stash(base.join(met.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets(width), "id long, members binary"))
+    sets = stash(base.join(met.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "one", "text").mapInArrow(_sets(width), "id long, members binary"))
     links = stash(_within(crowds, sets, threshold))
     for k in range(rounds + 1):
         if k < rounds:  # each document's likeliest pair of those left
@@ -276,11 +294,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, rounds
             for side in ("a", "b"):
                 pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
             pairs = stash(pairs.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "near"))
-    # A copy belongs where the first document of its set does.
-    rep = groups.select("n_shingles", "one", "two", "rep")
-    out = signed.join(rep, ["n_shingles", "one", "two"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
-    out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+    # A copy belongs where the first document of its set does; the few sets with many copies go to all tasks.
+    owner = groups.select(*key, "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "n", F.coalesce("root", "rep").alias("own"))
+    many = F.col("n") > HOT * signed.count()
+    rows = signed.select("doc_id", *key)
+    hot = F.broadcast(owner.where(many).drop("n"))
+    full = rows.where("n_shingles > 0")
+    out = full.join(hot, key).unionByName(full.join(hot, key, "left_anti").join(owner.where(~many).drop("n"), key, "left"))
+    out = out.unionByName(rows.where("n_shingles = 0").withColumn("own", F.lit(None).cast("long")))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -35,8 +35,8 @@ def test_windows_are_equal_only_for_equal_words():
     assert len({(x, y) for x, y in zip(h.tolist(), want)}) == len(set(want))
 
 
-@pytest.mark.parametrize("in_a_task", [10**6, 0])
-def test_components(spark, in_a_task):
+@pytest.mark.parametrize("block", [10**6, 30, 7])
+def test_components(spark, block):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(60)] + [(7, 7)]
     root = {n: n for e in edges for n in e}
@@ -49,7 +49,7 @@ def test_components(spark, in_a_task):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in C.components(spark.createDataFrame(edges, "a long, b long"), in_a_task=in_a_task).collect()}
+    got = {r.node: r.root for r in C.components(spark.createDataFrame(edges, "a long, b long"), block=block).collect()}
     assert all(got.get(n, n) == find(n) for n in root)
 
 
