@@ -1,9 +1,12 @@
 """Embedding near-dedup: dual traversal of cover trees, exact for pairs of cosine >= threshold within a label.
 
 1. Equal vectors of a label meet by their values and go on as one with a weight.
-2. The top of the tree: labels of more than BLOCK vectors are parted into cells around centres
-   of a nested net over a bounded sample (SAMPLE vectors in all).  Cells know their exact
-   covering radius; those of more than BLOCK vectors are dealt into several blocks.
+2. The top of the tree, over the cluster: a cell of more than BLOCK vectors is split around the
+   centres of a net over a sample of its own, at the finest of halving radii that has few enough,
+   level by level until its parts are small, and once more where these are a few tight clusters.
+   Every cell's covering radius is exact.  Pairs of cells are walked from the top: children of
+   pairs whose balls come near enough, and no others.  A cell too tight to split is dealt into
+   several blocks.
 3. Pairs of blocks whose balls come near enough go to a task each.  It builds a cover tree of
    nested levels with halving radii per block and walks both: pairs of nodes are dropped when
    their centres are further apart than the radii and the threshold allow, taken whole when
@@ -22,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import components, stash
 
-BLOCK, SAMPLE, LEAF, MOST_CENTRES = 4096, 4096, 64, 64
+#: Vectors of a block and a leaf, sampled vectors of a cell, centres that split it, levels of splits.
+BLOCK, LEAF, SAMPLE, MOST_CENTRES, LEVELS = 4096, 64, 1024, 64, 16
 _SLACK = 1e-7
 
 
@@ -39,12 +42,12 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
-def net(u: np.ndarray, radius: float, most: int) -> np.ndarray | None:
-    """Points, the first included, so that every point is within radius of one; None if more than `most`."""
+def net(u: np.ndarray, radius: float, most: int, cut: bool = False) -> np.ndarray | None:
+    """Points, the first included, so that every point is within radius of one; if more than `most`, None or those."""
     open_, out = np.ones(len(u), bool), []
     while open_.any():
         if len(out) == most:
-            return None
+            return np.array(out) if cut else None
         i = int(np.argmax(open_))
         out.append(i)
         open_ &= _distance(u[i : i + 1], u)[0] > radius
@@ -166,67 +169,120 @@ def _pair(threshold: float):
     return run
 
 
-def _top(sample: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
-    """Centres of each label's cells: the finest level of a nested net that has few enough."""
-    out = {}
-    for key, v in sample.items():
-        u, level, best = _unit(v), 2.0, np.array([0])
-        while level > 1e-3 and (found := net(u, level, MOST_CENTRES)) is not None:
-            best, level = found, level / 2
-        out[key] = u[best]
+KEYS = ["label", "dim"]
+CELL = [*KEYS, "cell"]
+
+
+def _centres(reach: float, block: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Centres that split one cell, from its sample: the finest level of a nested net that has few enough, or part of one.
+
+        A cell of a block is split only into a few clusters that are tight, else it has one centre.
+        """
+        u, size = _unit(_vectors(table)), table.column("size")[0].as_py()
+        most = min(MOST_CENTRES, max(2, 8 * size // block))
+        if size <= block:
+            best = net(u, reach / 2, most)
+            best = np.zeros(1, np.int64) if best is None else best
+        else:
+            level = max(float(_distance(u[:1], u).max()), 1e-9)
+            best, k = net(u, level / 2, most, cut=True), 2
+            while len(best) < most and level / 2**k > reach / 8 and (found := net(u, level / 2**k, most)) is not None:
+                best, k = found, k + 1
+        head = {c: pa.array([table.column(c)[0].as_py()] * len(best), table.schema.field(c).type) for c in CELL}
+        return pa.table(head | {"k": pa.array(np.arange(len(best)), pa.int32()), "centre": pa.array(list(u[best]), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _assign(rows: pa.Table, centres: pa.Table) -> pa.Table:
+    """Some rows of one cell, each with its nearest centre's number and distance."""
+    near = _distance(_unit(_vectors(rows)), np.array(centres.column("centre").to_pylist()))
+    at = near.argmin(axis=1)
+    return pa.table({c: rows.column(c) for c in [*CELL, "rep", "weight", "v"]} | {"k": centres.column("k").take(pa.array(at)), "far": near[np.arange(len(at)), at]})
+
+
+def cells(reps: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """(rows with their leaf cell, nodes: label, dim, cell, up, centre, radius, size, leaf); cells are paths like /3/17."""
+    kind = {f.name: f.dataType.simpleString() for f in reps.schema}
+    columns = [*CELL, "rep", "weight", "v"]
+    open_ = reps.withColumn("cell", F.lit("")).select(*columns)
+    sizes = open_.groupBy(*CELL).agg(F.count("*").alias("size")).withColumn("leaf", F.col("size") <= BLOCK)
+    nodes = [stash(sizes.select(*CELL, F.lit(None).cast("string").alias("up"), F.lit(None).cast("array<double>").alias("centre"), F.lit(2.0).alias("radius"), "size", "leaf"))]
+    done = []
+    for level in range(LEVELS):
+        split = nodes[-1].where("not leaf").select(*CELL, "size")
+        if split.isEmpty():
+            break
+        done.append(open_.join(nodes[-1].where("leaf").select(*CELL), CELL, "left_semi"))
+        wide = open_.join(split, CELL).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+        some = wide.where(F.pmod(F.xxhash64("rep", F.lit(level)), F.greatest(F.floor(F.col("size") / SAMPLE), F.lit(1))) == 0).select(*CELL, "size", "v")
+        head = ", ".join(f"{c} {kind.get(c, 'string')}" for c in CELL)
+        centres = stash(some.groupBy(*CELL).applyInArrow(_centres(reach, BLOCK), f"{head}, k int, centre array<double>"))
+        dealt = wide.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).select(*columns, "part")
+        told = centres.join(split, CELL).withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1))).select(*CELL, "part", "k", "centre")
+        near = dealt.groupBy(*CELL, "part").cogroup(told.groupBy(*CELL, "part")).applyInArrow(_assign, f"{head}, rep long, weight long, v array<double>, k int, far double")
+        near = stash(near.withColumns({"up": F.col("cell"), "cell": F.concat_ws("/", "cell", "k")}))
+        sizes = near.groupBy(*CELL, "up", "k").agg(F.count("*").alias("size"), F.max("far").alias("radius"))
+        sizes = sizes.join(centres.withColumnRenamed("cell", "up"), [*KEYS, "up", "k"])
+        sizes = sizes.join(split.select(*KEYS, F.col("cell").alias("up"), F.col("size").alias("before")), [*KEYS, "up"])
+        # A cell whose points all link has nothing that splits could prune within it; one of a block is tried once.
+        once = (F.col("size") <= BLOCK) & ((F.col("before") <= BLOCK) | (4 * F.col("size") < BLOCK))
+        leaf = once | (2 * F.col("radius") <= reach - _SLACK) | F.lit(level == LEVELS - 1)
+        nodes.append(stash(sizes.select(*CELL, "up", "centre", "radius", "size", leaf.alias("leaf"))))
+        open_ = near.select(*columns)
+    rows = open_.join(nodes[-1].where("leaf").select(*CELL), CELL, "left_semi")
+    every = nodes[0]
+    for more in done:
+        rows = rows.unionByName(more)
+    for more in nodes[1:]:
+        every = every.unionByName(more)
+    return rows, every
+
+
+def cell_pairs(nodes: DataFrame, reach: float) -> DataFrame:
+    """(label, dim, cell, size, cell_b, size_b): pairs of leaf cells, cell <= cell_b, whose balls come near enough."""
+    nodes = stash(nodes)
+    # What a cell opens into: its children, a leaf into itself.
+    step = nodes.where("up is not null").withColumnRenamed("up", "from").unionByName(nodes.where("leaf").withColumn("from", F.col("cell")).drop("up"))
+    side = lambda b: step.select(*KEYS, *(F.col(c).alias(f"{c}{b}") for c in ("from", "cell", "centre", "radius", "size", "leaf")))
+    tops = nodes.where("up is null")
+    found = [tops.where("leaf").select(*CELL, "size", F.col("cell").alias("cell_b"), F.col("size").alias("size_b"))]
+    open_ = stash(tops.where("not leaf").select(*KEYS, F.col("cell").alias("from"), F.col("cell").alias("from_b")))
+    while not open_.isEmpty():
+        met = open_.join(side(""), [*KEYS, "from"]).join(side("_b"), [*KEYS, "from_b"]).where("`from` <> from_b or cell <= cell_b")
+        apart = F.expr("sqrt(greatest(0D, 2D - 2D * aggregate(zip_with(centre, centre_b, (x, y) -> x * y), 0D, (n, x) -> n + x)))")
+        met = met.where((F.col("cell") == F.col("cell_b")) | (apart <= F.col("radius") + F.col("radius_b") + F.lit(reach + _SLACK)))
+        met = stash(met.select(*CELL, "size", "leaf", "cell_b", "size_b", "leaf_b"))
+        found.append(met.where("leaf and leaf_b").select(*CELL, "size", "cell_b", "size_b"))
+        open_ = met.where("not (leaf and leaf_b)").select(*KEYS, F.col("cell").alias("from"), F.col("cell_b").alias("from_b"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out
 
 
+def block_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of cells as pairs of their blocks of at most about BLOCK vectors."""
+    parts = lambda size: F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / BLOCK).cast("int") - 1))
+    return pairs.withColumn("part", parts("size")).withColumn("part_b", parts("size_b")).where("cell <> cell_b or part <= part_b")
+
+
 def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     ok = F.expr("vec_id is not null and label is not null and size(v) > 0 and forall(v, x -> x is not null and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     base = base.withColumn("ok", F.coalesce(ok, F.lit(False)))
     reps = stash(base.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("v")))
-    keys = ["label", "dim"]
-    large = reps.groupBy(*keys).count().where(F.col("count") > BLOCK)
-    few = reps.join(large.select(*keys), keys).select(*keys, "v", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    sample: dict[tuple, list] = {}
-    for r in few:
-        sample.setdefault((r.label, r.dim), []).append(r.v)
-    centres = _top({k: np.array(x) for k, x in sample.items()})
-
-    def assign(batches):
-        for batch in batches:
-            labels, dims, vs = batch.column("label").to_pylist(), batch.column("dim").to_pylist(), batch.column("v").to_pylist()
-            cell, far = np.zeros(len(labels), np.int32), np.zeros(len(labels))
-            for key in set(zip(labels, dims, strict=True)):
-                at = np.array([i for i, k in enumerate(zip(labels, dims, strict=True)) if k == key])
-                if key in centres:
-                    d = _distance(_unit(np.array([vs[i] for i in at])), centres[key])
-                    cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"])
-
-    placed = reps.mapInArrow(assign, T.StructType([*reps.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())]))
-    placed = stash(placed)
-    cells = placed.groupBy(*keys, "cell").agg(F.max("far").alias("radius"), F.count("*").alias("size"))
-    cells = cells.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
-    near = placed.join(cells.select(*keys, "cell", "parts"), [*keys, "cell"])
-    near = near.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    blocks = cells.select(*keys, "cell", "radius", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    other = blocks.select(*keys, *(F.col(c).alias(f"{c}_b") for c in ("cell", "radius", "part")))
-    pairs = blocks.join(other, keys).where("struct(cell, part) <= struct(cell_b, part_b)")
     reach = float(np.sqrt(2 - 2 * threshold))
-
-    def meet(frames):
-        for f in frames:
-            keep = [
-                (r.label, r.dim) not in centres or r.cell == r.cell_b or float(_distance(centres[r.label, r.dim][r.cell : r.cell + 1], centres[r.label, r.dim][r.cell_b : r.cell_b + 1])[0, 0]) <= r.radius + r.radius_b + reach + _SLACK
-                for r in f.itertuples()
-            ]
-            yield f[keep]
-
-    pairs = stash(pairs.mapInPandas(meet, pairs.schema).select(*keys, "cell", "part", "cell_b", "part_b"))
-    at = lambda side, c, p: [*keys, "cell", "part", "cell_b", "part_b", F.lit(side).alias("side"), F.col(c).alias("c"), F.col(p).alias("p")]
+    rows, nodes = cells(reps, reach)
+    pairs = stash(block_pairs(cell_pairs(nodes, reach)).select(*CELL, "part", "cell_b", "part_b"))
+    at = lambda side, c, p: [*CELL, "part", "cell_b", "part_b", F.lit(side).alias("side"), F.col(c).alias("c"), F.col(p).alias("p")]
     sides = pairs.select(*at(0, "cell", "part")).union(pairs.where("cell <> cell_b or part <> part_b").select(*at(1, "cell_b", "part_b")))
-    told = near.select(*keys, F.col("cell").alias("c"), F.col("part").alias("p"), "rep", "weight", "v")
-    met = sides.join(told, [*keys, "c", "p"]).select(*keys, "cell", "part", "cell_b", "part_b", "side", "rep", "weight", "v")
-    found = stash(met.groupBy(*keys, "cell", "part", "cell_b", "part_b").applyInArrow(_pair(threshold), "rep long, n_links long, root long"))
+    size = nodes.where("leaf").select(*CELL, F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    told = rows.join(size, CELL).withColumn("p", F.pmod(F.xxhash64("rep"), "parts").cast("int")).select(*KEYS, F.col("cell").alias("c"), "p", "rep", "weight", "v")
+    met = sides.join(told, [*KEYS, "c", "p"]).select(*CELL, "part", "cell_b", "part_b", "side", "rep", "weight", "v")
+    found = stash(met.groupBy(*CELL, "part", "cell_b", "part_b").applyInArrow(_pair(threshold), "rep long, n_links long, root long"))
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("n"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     own = reps.select("label", "v", "rep", "weight").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -47,6 +47,22 @@ def test_cover_tree(spark, monkeypatch, block):
     assert cover_tree.near_vectors(df.limit(0)).count() == 0
 
 
+def test_cells_of_many_clusters_prune(spark, monkeypatch):
+    """200 tight clusters in one label: block pairs grow with the vectors, not with their square."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 20)
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(200, 32))
+    reach = float(np.sqrt(2 - 2 * 0.93))
+    made = []
+    for n in (1500, 6000):
+        v = centres[np.arange(n) % 200] + rng.normal(size=(n, 32)) * 0.02
+        df = spark.createDataFrame([(1, 32, i, 1, x.tolist()) for i, x in enumerate(v)], "label int, dim int, rep long, weight long, v array<double>")
+        rows, nodes = cover_tree.cells(df, reach)
+        assert rows.count() == n == rows.select("rep").distinct().count()
+        made.append(cover_tree.block_pairs(cover_tree.cell_pairs(nodes, reach)).count())
+    assert made[0] < 400 and made[1] < 1200, made  # all pairs: 2850 and 45,150 of full blocks
+
+
 def brute_removed(docs, width):
     first = {}
     for d, t in sorted((x for x in docs if x[0] is not None), key=lambda x: x[0]):
