@@ -236,6 +236,28 @@ def test_classifier_held_out(spark):
     assert all(got[i].rejected == (got[i].quality_score < 0.5) for i in got)
 
 
+def test_exchange_names_the_surest_of_all(spark):
+    rows = [*corpus(500), (3, "twice", "en", "a", 5), (None, "no id", "en", "a", 5), (700, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(9)
+    rng, meta = np.random.default_rng(5), ["lang", "source", "n_chars"]
+    views = [cotraining.View(1 << cotraining.BITS, 10), cotraining.View(1 << cotraining.META_BITS, 0)]
+    views[0].w, views[0].d, views[1].w = rng.normal(size=1 << cotraining.BITS) * 4, rng.normal(size=10), rng.normal(size=1 << cotraining.META_BITS) * 4
+    models, taken = {"q": cotraining._slim(views)}, np.arange(0, 60, 3)
+    got = cotraining.exchange(df, models, meta, taken, most=25, sure=0.6)
+    batch = pa.RecordBatch.from_pylist([dict(zip(["doc_id", "text", *meta], r)) for r in rows if r[0] is not None], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]))
+    z = cotraining._logits(models["q"], batch.num_rows, cotraining.text_features(batch.column("text")), cotraining.meta_features(batch, meta))
+    ids = batch.column("doc_id").to_pylist()
+    for view in (0, 1):
+        for side in (0, 1):
+            best = {}
+            for d, x in zip(ids, z[view] if side else -z[view]):
+                if d not in taken and x > math.log(0.6 / 0.4):
+                    best[d] = max(best.get(d, -99), x)
+            named = [r.doc_id for r in got if (r["view"], r.side) == (view, side)]
+            assert len(named) == len(set(named)) == min(25, len(best))
+            assert np.allclose(sorted(best[d] for d in named), sorted(best.values())[-len(named) :])
+
+
 def test_classifier_without_labels(spark):
     df = spark.createDataFrame(corpus(20), SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
