@@ -171,17 +171,70 @@ def test_pack(spark):
 # -- language model
 
 
+def lm_model(tok, first, bits=14, scale=0.5):
+    cells = np.zeros((maxent.LEVELS << bits) * maxent.WAYS, np.int32)
+    maxent.count_ways(cells, tok, first, bits)
+    totals = np.bincount(maxent.slot(tok), minlength=maxent.SLOTS) + 1.0
+    return maxent.Model(totals, maxent.as_logs(cells), bits, np.full((maxent.LEVELS, maxent._FEATURES, maxent._SIZES), scale)), cells
+
+
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
-    weights = rng.normal(size=(1 << maxent.BITS, maxent.WAYS)).astype(np.float32)
-    prior = maxent.priors(rng.integers(1, 50, maxent.SLOTS).astype(float))
-    context, first = maxent.tokens(pa.array(["some words before"]))
-    at = np.repeat(context[:3], 1)
+    model, _ = lm_model(*maxent.tokens(pa.array([" ".join(f"w{i}" for i in rng.integers(0, 40, 300)) for _ in range(20)])))
+    context, _ = maxent.tokens(pa.array(["w1 w2 w3"]))
     total = 0.0
-    for slot in range(maxent.SLOTS):
-        tok = np.r_[at, np.uint64(slot) << np.uint64(52)]
-        total += 10 ** maxent.log10_slots(weights, prior, tok, np.array([0, 4]))[3]
-    assert abs(total - 1) < 1e-4
+    slots = np.arange(maxent.SLOTS, dtype=np.uint64) << np.uint64(64 - 4 * maxent.LEVELS)
+    for part in np.array_split(slots, 16):
+        tok = np.stack([*(np.full(len(part), c) for c in context[:3]), part], 1).ravel()
+        got = model.log10_slots(tok, np.arange(0, len(tok) + 1, 4))
+        total += (10 ** got[3::4]).sum()
+    assert abs(total - 1) < 1e-3
+
+
+def test_lm_scores_match_brute_force():
+    """Counts, weights and softmax written out token by token."""
+    rng = np.random.default_rng(3)
+    tok, first = maxent.tokens(pa.array([" ".join(f"w{i}" for i in rng.integers(0, 30, 60)) for _ in range(8)]))
+    model, cells = lm_model(tok, first)
+    assert (maxent.from_logs(maxent.as_logs(cells)) == cells).all()
+    f, s = maxent.features(tok, first), maxent.slot(tok)
+    totals = np.bincount(s, minlength=maxent.SLOTS) + 1.0
+    seen = Counter()
+    for level in range(4):
+        row, _, way = maxent.rows_of(f, level, s, 14)
+        for rs, w in zip(row.tolist(), way.tolist()):
+            for r in rs:
+                seen[r, w] += 1
+    assert {(k // 16, k % 16): int(cells[k]) for k in np.flatnonzero(cells)} == dict(seen)
+    got = model.log10_slots(tok, first)
+    for i in rng.integers(0, len(tok), 25).tolist():
+        want = 0.0
+        for level in range(4):
+            row, node, way = maxent.rows_of(f[i : i + 1], level, s[i : i + 1], 14)
+            width = 16 ** (4 - level)
+            share = totals[int(node[0]) * width : (int(node[0]) + 1) * width].reshape(16, -1).sum(1)
+            share = share / share.sum()
+            z = [math.log(share[w]) + 0.5 * sum(math.log((seen[r, w] / share[w] + 16) / (sum(seen[r, x] for x in range(16)) + 16)) for r in row[0].tolist()) for w in range(16)]
+            want += z[int(way[0])] / math.log(10) - math.log10(sum(math.exp(x) for x in z))
+        assert abs(got[i] - want) < 1e-4
+
+
+def test_lm_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(6)
+    tok, first = maxent.tokens(pa.array([" ".join(f"w{i}" for i in rng.integers(0, 30, 60)) for _ in range(8)]))
+    model, _ = lm_model(tok, first)
+
+    def loss(scales):
+        m = maxent.Model(model.totals, model.cells, model.bits, scales)
+        return -sum(np.log(p[np.arange(len(w)), w] / p.sum(axis=1)).sum() for _, p, w, _, _ in m.choices(tok, first, without=True))
+
+    got, second = model.gradient(tok, first)
+    assert np.allclose(second, second.T)
+    for k in np.argsort(-np.abs(got))[:6].tolist():
+        up, down = (model.scales.astype(float).copy() for _ in range(2))
+        up.ravel()[k] += 0.01
+        down.ravel()[k] -= 0.01
+        assert abs((loss(up) - loss(down)) / 0.02 - got[k]) < 0.02 * abs(got[k]) + 0.5
 
 
 def test_lm_learns_every_feature_of_every_token():
@@ -195,12 +248,19 @@ def test_lm_learns_every_feature_of_every_token():
             w.append(int(after[w[-3]]))
         texts.append(" ".join(f"v{k}" for k in w))
     tok, first = maxent.tokens(pa.array(texts))
-    prior = maxent.priors(np.bincount(maxent.slot(tok), minlength=maxent.SLOTS) + 1.0)
-    weights, met = np.zeros((1 << maxent.BITS, maxent.WAYS), np.float32), np.zeros(1 << maxent.BITS, np.int64)
-    base = maxent.log10_slots(weights, prior, tok, first).mean()
-    maxent.learn(weights, met, prior, tok, first)
-    assert met.sum() == 4 * 3 * len(tok)
-    assert maxent.log10_slots(weights, prior, tok, first).mean() > base + 0.3
+    model, cells = lm_model(tok, first, scale=0.3)
+    assert cells.sum() == 4 * 4 * len(tok)
+    flat = maxent.Model(model.totals, model.cells, model.bits, np.zeros_like(model.scales))
+    model = model.stepped(*model.gradient(tok, first))
+    assert model.log10_slots(tok, first).mean() > flat.log10_slots(tok, first).mean() + 0.6
+
+
+def test_lm_is_the_same_on_any_number_of_tasks(spark):
+    rng = random.Random(18)
+    docs = [(i, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(80))) for i in range(250)] + [(i, "the same words again and again " * 9) for i in range(300, 400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one, many = ({r.doc_id: r.score for r in maxent.lm_scores(df.repartition(n)).collect()} for n in (1, 13))
+    assert one.keys() == many.keys() and max(abs(one[d] - many[d]) for d in one) < 1e-6 * 100
 
 
 def test_lm_base_and_gain(spark):
