@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import FIELDS
 from . import xpath
+from .scratch import kept
 
 
 def pairs(basis: DataFrame, key: str = "lineage", compat: bool = False) -> DataFrame:
@@ -44,7 +45,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "id", left: str =
         new = label.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
         jump = new.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = new.join(jump, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
-        new = _kept(new)
+        new = kept(new)
         moved = new.where("label <> old").isEmpty()
         label = new.select("id", "label")
         if moved:
@@ -54,16 +55,6 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "id", left: str =
     return label.select(F.col("id").alias(key), F.col("label").alias("component"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: a checkpoint in the folder the session names, set only where none is."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arborwise-"))
-    return df.checkpoint()
-
-
 def reachable(nodes: DataFrame, edges: DataFrame, asked: DataFrame, key: str = "id") -> DataFrame:
     """asked (left, right) with connected: whether edges lead from one to the other."""
     c = components(nodes, edges, key)
@@ -114,9 +105,11 @@ def apply_network(contexts: DataFrame, nodes: DataFrame, members: list[str], edg
         record = own.select("doc_id", F.col("node_id").alias("start_id"), F.col("node_id").alias(f"at_{start}"), F.col("fields").alias("fields"))
         for _, source, target, path in way:
             starts = record.where(F.col(f"at_{source}").isNotNull()).select("doc_id", F.col(f"at_{source}").alias("node_id")).distinct()
-            hit = xpath.evaluate(starts, nodes, path).groupBy("doc_id", "start_id").agg(F.min("node_id").alias(f"to_{target}"))
-            to = contexts.where(F.col("basis") == target).select("doc_id", F.col("node_id").alias(f"to_{target}"), F.col("fields").alias("_more"))
-            hit = hit.join(to, ["doc_id", f"to_{target}"]).select("doc_id", F.col("start_id").alias(f"at_{source}"), f"to_{target}", "_more")
+            # Contexts first, then the first of them in document order: other nodes on the way count for nothing.
+            to = contexts.where(F.col("basis") == target).select("doc_id", "node_id", F.col("fields").alias("_more")).join(nodes.select("doc_id", "node_id", "path"), ["doc_id", "node_id"])
+            hit = xpath.evaluate(starts, nodes, path).select("doc_id", "start_id", "node_id").join(to, ["doc_id", "node_id"])
+            hit = hit.groupBy("doc_id", "start_id").agg(F.min(F.struct("path", "node_id", "_more")).alias("to"))
+            hit = hit.select("doc_id", F.col("start_id").alias(f"at_{source}"), F.col("to.node_id").alias(f"to_{target}"), "to._more")
             record = record.join(hit, ["doc_id", f"at_{source}"], "left").withColumn("fields", F.concat("fields", F.coalesce("_more", empty))).drop("_more")
             if f"at_{target}" not in record.columns:
                 record = record.withColumnRenamed(f"to_{target}", f"at_{target}")

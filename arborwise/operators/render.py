@@ -45,20 +45,21 @@ def nested(nodes: list[dict], chosen: set[str] | None = None) -> dict:
     for n in sorted(nodes, key=lambda n: list(n["path"])):
         below.setdefault(n["parent_id"], []).append(n)
 
+    omitted = lambda n: chosen is not None and n["node_id"] not in chosen
+
     def build(n: dict) -> dict:
-        out: dict = {}
-        if chosen is not None and n["node_id"] not in chosen:
-            out["_omitted"] = True
-        else:
-            for f in n["fields"]:
-                _put(out, f["key"], f["value"].strip())
+        out: dict = {"_omitted": True} if omitted(n) else {}
+        for f in [] if omitted(n) else n["fields"]:
+            _put(out, f["key"], f["value"].strip())
         for c in below.get(n["node_id"], []):
             inner = build(c)
-            if c["name"] and not inner.pop("_omitted", False):
+            if c["name"] and not omitted(c):
                 _put(out, c["name"], inner)
-            else:
-                for k, v in inner.items():
-                    _put(out, k, v)
+                continue
+            if inner.pop("_omitted", False):  # said once, however many are left out
+                out["_omitted"] = True
+            for k, v in inner.items():
+                _put(out, k, v)
         return out
 
     tops = below.get(None, [])

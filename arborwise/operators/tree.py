@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ident
+from .scratch import kept
 
 AXES = ("child", "parent", "self", "descendant", "ancestor", "following-sibling", "preceding-sibling", "following", "preceding")
 
@@ -111,18 +112,28 @@ def deep_subgraph(nodes: DataFrame, acyclic: bool = True, depth: int | None = No
 
 
 def envelope(contexts: DataFrame, nodes: DataFrame, most: int = 51) -> DataFrame:
-    """(doc_id, ctx, node_id, hops): up to `most` nodes around a context, children before parents, nearest first."""
-    seen = contexts.select("doc_id", "ctx", "node_id", F.lit(0).alias("hops"))
-    rim, hops = seen, 0
-    while hops < 4:
-        hops += 1
-        down = axis(rim, nodes, "child").select("doc_id", "ctx", "node_id", F.lit(0).alias("up"))
-        up = axis(rim, nodes, "parent").select("doc_id", "ctx", "node_id", F.lit(1).alias("up"))
-        new = down.union(up).groupBy("doc_id", "ctx", "node_id").agg(F.min("up").alias("up")).join(seen.select("doc_id", "ctx", "node_id"), ["doc_id", "ctx", "node_id"], "left_anti")
-        rim = new.select("doc_id", "ctx", "node_id", F.lit(hops).alias("hops"))
+    """(doc_id, ctx, node_id, hops, rank): up to `most` nodes around a context, breadth first, a node's children before its parent.
+
+    It goes on until each context has `most` nodes or no more exist, `most` rounds at the very most.
+    """
+    key = ["doc_id", "ctx"]
+    below = nodes.where("parent_id is not null")
+    down = below.select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("to"), F.lit(0).alias("up"), "ordinal")
+    up = below.select("doc_id", "node_id", F.col("parent_id").alias("to"), F.lit(1).alias("up"), F.lit(0).alias("ordinal"))
+    links = down.unionByName(up)
+    seen = contexts.select(*key, "node_id", F.lit(0).alias("hops"), F.lit(1).alias("rank"))
+    rim = seen
+    for hops in range(1, most):
+        found = rim.join(links, ["doc_id", "node_id"]).groupBy(*key, F.col("to").alias("node_id")).agg(F.min(F.struct("rank", "up", "ordinal")).alias("by"))
+        found = found.join(seen.select(*key, "node_id"), [*key, "node_id"], "left_anti")
+        so_far = seen.groupBy(*key).agg(F.count("*").alias("n"))
+        order = Window.partitionBy(*key).orderBy("by", "node_id")
+        rim = found.join(so_far, key).withColumn("rank", F.col("n") + F.row_number().over(order)).where(F.col("rank") <= most)
+        rim = kept(rim.select(*key, "node_id", F.lit(hops).alias("hops"), F.col("rank").cast("int").alias("rank")))
+        if rim.isEmpty():
+            break
         seen = seen.union(rim)
-    order = Window.partitionBy("doc_id", "ctx").orderBy("hops", "node_id")
-    return seen.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("rn")
+    return seen
 
 
 def first_per_lineage(nodes: DataFrame, breadth_first: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import trim
 from . import tree
 
 
@@ -123,7 +124,7 @@ def _holds(p: Predicate) -> Column:
         for n in p.names:
             out &= value(n).isNotNull()
         return out
-    v = F.trim(value(p.names[0]))
+    v = trim(value(p.names[0]))
     found = {"equals": v == p.value.strip(), "contains": v.contains(p.value), "starts-with": v.startswith(p.value)}[p.kind]
     return F.coalesce(found, F.lit(False))
 

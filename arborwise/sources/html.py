@@ -88,6 +88,14 @@ class Builder(HTMLParser):
 
     # -- tokens
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """`<![...>` outside of foreign content is a comment up to the next `>`."""
+        end = self.rawdata.find(">", i + 3)
+        if end < 0:
+            return -1
+        self.handle_comment(self.rawdata[i + 2 : end])
+        return end + 1
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         found: dict[str, str] = {}
         for k, v in attrs:
@@ -293,7 +301,7 @@ def flattened(docs: DataFrame, parse_one, id_col: str, text_col: str) -> DataFra
                     if text is None or not text.strip():
                         raise ValueError("document is empty")
                     rows += as_rows(doc, *parse_one(text))
-                except (ValueError, RecursionError) as e:
+                except (ValueError, AssertionError, RecursionError) as e:
                     rows += as_rows(doc, [], None, str(e))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)

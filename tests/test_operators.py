@@ -72,6 +72,31 @@ def test_envelope(nodes):
     assert len(got) == 5 and got[0].node_id == "r.1.0.0" and got[-1].hops <= 2
 
 
+def test_envelope_of_a_chain_goes_all_the_way(spark):
+    rows = [(1, f"n{i:02d}", f"n{i - 1:02d}" if i else None, 0) for i in range(12)]
+    n = spark.createDataFrame(rows, "doc_id long, node_id string, parent_id string, ordinal int")
+    ctx = n.where("node_id = 'n03'").select("doc_id", F.col("node_id").alias("ctx"), "node_id")
+    got = [r.node_id for r in tree.envelope(ctx, n).orderBy("rank").collect()]
+    assert got == ["n03", "n04", "n02", "n05", "n01", "n06", "n00", *(f"n{i:02d}" for i in range(7, 12))]
+    assert tree.envelope(ctx, n, most=3).count() == 3
+
+
+def test_omitted_is_said_once():
+    row = lambda i, parent, path, name: {"node_id": i, "parent_id": parent, "path": path, "name": name, "fields": [{"key": "k" + i, "value": i}]}
+    rows = [row("r", None, [], "top"), row("a", "r", [0], ""), row("b", "r", [1], ""), row("c", "r", [2], "li"), row("d", "r", [3], "kept"), row("e", "d", [3, 0], "li")]
+    assert render.nested(rows, {"r", "d"}) == {"kr": "r", "_omitted": True, "kept": {"kd": "d", "_omitted": True}}
+
+
+def test_network_takes_the_first_context(spark):
+    """Ten list items of which the first is no context, and whose places sort otherwise as text."""
+    rows = [(1, "r", None, 0, [], 0, "ul")] + [(1, f"r.{i}", "r", i, [i], 1, "li") for i in range(12)]
+    n = spark.createDataFrame([(*r, []) for r in rows], "doc_id long, node_id string, parent_id string, ordinal int, path array<int>, depth int, name string, fields array<struct<key:string,value:string>>")
+    told = F.array(F.struct(F.lit("k").alias("key"), F.col("node_id").alias("value")))
+    ctx = n.where("node_id = 'r' or ordinal in (2, 10, 11)").select("doc_id", "node_id", F.col("name").alias("basis"), told.alias("fields"))
+    got = {r.start_id: [f.value for f in r.fields] for r in networks.apply_network(ctx, n, ["ul", "li"], [networks.Combine("ul", "li", "li", "..")]).collect()}
+    assert got["r"] == ["r", "r.2"] and set(got) == {"r", "r.10", "r.11"}
+
+
 def test_grouping_by_levels(nodes):
     texts = nodes.where("name = '#text'")
     all_match = grouping.group_levels(texts, lambda g: g).collect()
@@ -125,7 +150,7 @@ def test_nested_json():
     rows = [{"node_id": "r", "parent_id": None, "path": [], "name": "", "fields": [{"key": "a", "value": " 1 "}]}]
     rows += [{"node_id": f"r.{i}", "parent_id": "r", "path": [i], "name": "x", "fields": [{"key": "v", "value": str(i)}]} for i in range(2)]
     assert render.nested(rows) == {"a": "1", "x": [{"v": "0"}, {"v": "1"}]}
-    assert render.nested(rows, {"r", "r.1"}) == {"a": "1", "x": {"v": "1"}}
+    assert render.nested(rows, {"r", "r.1"}) == {"a": "1", "_omitted": True, "x": {"v": "1"}}
 
 
 def test_translation_takes_the_first_mapping(spark):

@@ -109,3 +109,11 @@ def test_readers(spark, tmp_path):
     assert readers.with_fallback(specs, "Html", "o").first()[1:] == ("Html", "o", "instance")
     with pytest.raises(Exception, match="type is missing"):
         readers.with_fallback(specs).collect()
+
+
+def test_marked_sections_are_comments(spark):
+    from arborwise.sources.html import html_nodes
+
+    df = spark.createDataFrame([(1, "<p>a<![foo[x]]>b</p>"), (2, "<![CDATA[y]]><p>c</p>"), (3, "<p>d<![if")], "page_id long, html string")
+    rows = html_nodes(df).collect()
+    assert {r.doc_id for r in rows if r.name == "p"} == {1, 2, 3}
