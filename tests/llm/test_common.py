@@ -53,6 +53,16 @@ def test_components(spark, block):
     assert all(got.get(n, n) == find(n) for n in root)
 
 
+def test_components_where_keyed_counts_are_raised(spark, monkeypatch):
+    """A session may deal keyed repartitions to more tasks than asked for: one block still gives one root a node."""
+    frame = type(spark.range(1))
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *keys: plain(self, max(n, 13) if keys else n, *keys))
+    edges = [(i, i + 1) for i in range(60)] + [(i, 2 * i) for i in range(100, 130)]
+    got = sorted((r.node, r.root) for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == sorted([(i, 0) for i in range(1, 61)] + [(2 * i, i) for i in range(100, 130)])
+
+
 def test_components_of_nothing(spark):
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
