@@ -32,10 +32,14 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", F.col("node_id").alias("to_id"), F.col("parent_id").alias("to_parent"), F.col("ordinal").alias("to_ordinal"), F.col("depth").alias("to_depth"), F.col("path").alias("to_path"), F.col("name").alias("to_name"))
 
 
-def step(contexts: DataFrame, nodes: DataFrame, axis: str) -> DataFrame:
-    """(doc_id, ctx, node_id, o1, o2, o3): the nodes on an axis of each context (doc_id, ctx, node_id) and their order."""
+def step(contexts: DataFrame, nodes: DataFrame, axis: str, aimed: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ctx, node_id, o1, o2, o3): the nodes on an axis of each context (doc_id, ctx, node_id) and their order.
+
+    aimed: those of the nodes that are looked for, where not all are; the axes self and parent don't read it.
+    """
+    aimed = nodes if aimed is None else aimed
     at = contexts.select("doc_id", "ctx", "node_id").join(nodes.select("doc_id", "node_id", "parent_id", "ordinal", "path", "depth"), ["doc_id", "node_id"])
-    to = _candidates(nodes)
+    to = _candidates(aimed)
     none = F.array().cast("array<int>")
     if axis == "self":
         return at.select("doc_id", "ctx", "node_id", F.lit(0).alias("o1"), F.lit(0).alias("o2"), none.alias("o3"))
@@ -51,7 +55,7 @@ def step(contexts: DataFrame, nodes: DataFrame, axis: str) -> DataFrame:
         hit = ups.join(keyed, (ups.doc_id == keyed.doc_id) & (ups.up == keyed._k))
         return hit.select(ups.doc_id, "ctx", F.col("to_id").alias("node_id"), F.col("distance").alias("o1"), F.lit(0).alias("o2"), none.alias("o3"))
     if axis == "descendant":
-        ups = with_ancestors(nodes.select("doc_id", F.col("node_id").alias("to_id"), "path", F.col("depth").alias("to_depth")))
+        ups = with_ancestors(aimed.select("doc_id", F.col("node_id").alias("to_id"), "path", F.col("depth").alias("to_depth")))
         own = at.select("doc_id", "ctx", F.expr(path_key("path")).alias("_k"))
         hit = own.join(ups, (own.doc_id == ups.doc_id) & (own._k == ups.up))
         return hit.select(own.doc_id, "ctx", F.col("to_id").alias("node_id"), F.lit(0).alias("o1"), F.col("to_depth").alias("o2"), F.col("path").alias("o3"))
@@ -64,7 +68,7 @@ def step(contexts: DataFrame, nodes: DataFrame, axis: str) -> DataFrame:
         # For each ancestor-or-self, its siblings on that side, and below each of them breadth first.
         ups = with_ancestors(at, or_self=True).where("size(path) - distance > 0")
         ups = ups.select("doc_id", "ctx", "distance", F.expr("array_join(slice(path, 1, size(path) - distance - 1), '.')").alias("_k"), F.expr("get(path, size(path) - distance - 1)").alias("_o"))
-        sub = with_ancestors(nodes.select("doc_id", F.col("node_id").alias("to_id"), "path", F.col("depth").alias("to_depth")), or_self=True).where("size(path) - distance > 0")
+        sub = with_ancestors(aimed.select("doc_id", F.col("node_id").alias("to_id"), "path", F.col("depth").alias("to_depth")), or_self=True).where("size(path) - distance > 0")
         sub = sub.select("doc_id", "to_id", "to_depth", F.col("path").alias("to_path"), F.expr("array_join(slice(path, 1, size(path) - distance - 1), '.')").alias("_tk"), F.expr("get(path, size(path) - distance - 1)").alias("_to"))
         hit = ups.join(sub, (ups.doc_id == sub.doc_id) & (ups._k == sub._tk) & side(F.col("_to"), F.col("_o")))
         return hit.select(ups.doc_id, "ctx", F.col("to_id").alias("node_id"), (F.col("distance").cast("long") * (1 << 32) + F.col("_to")).alias("o1"), F.col("to_depth").alias("o2"), F.col("to_path").alias("o3"))

@@ -131,14 +131,14 @@ def _holds(p: Predicate) -> Column:
 
 def step(contexts: DataFrame, nodes: DataFrame, s: Segment) -> DataFrame:
     """One segment: (doc_id, ctx, node_id, pos), ctx being the context's own number."""
-    found = tree.step(contexts, nodes, s.axis)
-    order = ["o1", "o2", "o3", "node_id"]
-    known = nodes.select("doc_id", "node_id", "name", "fields")
-    found = found.join(known, ["doc_id", "node_id"])
+    aimed = nodes
     if s.axis not in ("self", "parent") and s.test not in ("*", "node()"):
-        found = found.where(F.col("name") == ("#text" if s.test == "text()" else s.test))
+        aimed = nodes.where(F.col("name") == ("#text" if s.test == "text()" else s.test))
     elif s.test == "*" and s.axis not in ("self", "parent"):
-        found = found.where(F.col("name") != "#text")
+        aimed = nodes.where(F.col("name") != "#text")
+    order = ["o1", "o2", "o3", "node_id"]
+    found = tree.step(contexts, nodes, s.axis, aimed)
+    found = found.join(aimed.select("doc_id", "node_id", "fields"), ["doc_id", "node_id"])
     for p in s.predicates:
         if p.kind in ("position", "last"):
             way = [F.col(c).desc() for c in order] if p.kind == "last" else order

@@ -221,3 +221,13 @@ def test_components_that_do_not_settle(spark):
     with pytest.raises(RuntimeError):
         networks.components(nodes, edges, most_rounds=1).collect()
     assert {r.component for r in networks.components(nodes, edges).collect()} == {0}
+
+
+def test_heads_of_pages_are_parsed_once(spark, tmp_path):
+    from arborwise import queries
+
+    pages = [(1, "<html lang='en'><body><h1> One <b>bold</b></h1><h1>A</h1><p>no</p></body></html>"), (2, "<html><body><p>x</p></body></html>"), (3, "<html lang=de><div><h1>Drei</h1></div></html>"), (4, " ")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    made = queries.html_h1(spark, str(tmp_path))
+    assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()  # was there for each use of the nodes
+    assert sorted(tuple(r) for r in made.collect()) == [(1, "en", "A"), (2, None, None), (3, "de", "Drei")]
