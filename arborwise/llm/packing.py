@@ -15,8 +15,8 @@ the input are not carried.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,38 +29,10 @@ from .common import slices, stash, tidy
 
 END_ID, SIZE = 2, 1024
 SPECIAL = "<|endoftext|>"
-_MOST_KEPT = 120_000
-#: What keeps a text from being looked up word by word: other white space than blanks and newlines
-#: (Python's \s holds all that the pattern's does, and more), two in a row, or one at either end.
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_RUNS = ("  ", "\n\n", " \n", "\n ")
-
-
-def _plain(text: str) -> bool:
-    """Only single blanks and newlines, each between two other characters."""
-    if not text or text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS):
-        return False
-    if text.isascii():
-        return not any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-    return not _OTHER_SPACE.search(text)
-
-
-class _Kept(dict):
-    """Ids of text units as little-endian bytes; emptied when it is full."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= _MOST_KEPT:
-            self.clear()
-        out = self[unit] = np.array(self.encode(self.lead + unit), "<u4").tobytes()
-        return out
 
 
 class Tokens:
-    """Byte-level BPE ids.  Single spaces and newlines between other characters always part tokens, so words are looked up one by one."""
+    """Byte-level BPE ids, of whole texts at once: a call or a kept entry a word costs more where most words are rare."""
 
     def __init__(self, ranks_path: str, whole_path: str):
         import public_tokenizers
@@ -69,8 +41,7 @@ class Tokens:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.mid = _Kept(self.encode, ""), _Kept(self.encode, " ")
-        self.newline, self.whole_path, self.whole = self.first["\n"], whole_path, None
+        self.whole_path, self.whole = whole_path, None
 
     def ids(self, text: str) -> bytes:
         if SPECIAL in text:  # its own id, as the tokenizers library does it
@@ -79,13 +50,7 @@ class Tokens:
 
                 self.whole = Tokenizer.from_file(self.whole_path)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not _plain(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        lines = []
-        for line in text.split("\n"):
-            units = line.split(" ")
-            lines.append(self.first[units[0]] + b"".join(map(self.mid.__getitem__, units[1:])))
-        return self.newline.join(lines)
+        return array("I", self.encode(text)).tobytes()
 
 
 @lru_cache(maxsize=2)

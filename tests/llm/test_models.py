@@ -121,6 +121,18 @@ def test_tokens_of_runs_and_as_many_other_blanks():
     assert np.frombuffer(packing.tokens(None, None).ids(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_rare_words_take_one_call(monkeypatch):
+    coder, calls = packing.Tokens(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")), []
+    one_by_one = coder.encode
+    monkeypatch.setattr(coder, "encode", lambda text: calls.append(text) or one_by_one(text))
+    for kept in (getattr(coder, k, None) for k in ("first", "mid")):
+        if kept is not None:
+            kept.encode = coder.encode
+    text = " ".join(f"word{i}" for i in range(500)) + "\nend"
+    assert np.frombuffer(coder.ids(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    assert len(calls) == 1  # was one for each word not met before
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=25))
 def test_plan_uses_every_piece_once(hist):
