@@ -25,6 +25,15 @@ def test_words_of_slices_and_lower():
     assert w.count().tolist() == [1, 2] and w.hashes[0] == w.hashes[2]
 
 
+def test_hashes_do_not_depend_on_where_running_sums_begin(monkeypatch):
+    text = pa.array(["ab c  defgh " * 9 + "x" * 300 + " é", "ab c", "漢字 defgh"])
+    want = C.words(text).hashes
+    first = [int(C.mix(np.array([sum((b + 1) * pow(int(C._BASE), k, 1 << 64) for k, b in enumerate(w)) + len(w) * int(C._LENGTH) & (1 << 64) - 1], np.uint64))[0]) for w in (b"ab", b"c", b"defgh")]
+    assert want[:3].tolist() == first
+    monkeypatch.setattr(C, "_RUN", 7)
+    assert C.words(text).hashes.tolist() == want.tolist()
+
+
 def test_windows_are_equal_only_for_equal_words():
     rng = random.Random(1)
     docs = [[rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(40)]

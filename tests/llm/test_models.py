@@ -370,3 +370,12 @@ def test_pipeline_stages(spark, tmp_path):
 def test_queries_are_named():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+
+
+def test_lm_words_of_a_block_are_found_by_sorting(monkeypatch):
+    texts = pa.array(["b a b", "", "c a", None])
+    monkeypatch.setattr(np, "union1d", lambda *_: pytest.fail("by a hash table"))
+    made = maxent._ask(1)(pa.table({"home": pa.array([3] * 4, pa.int32()), "text": texts}))
+    assert sorted(set(maxent.tokens(texts)[0].tolist())) == np.frombuffer(made.column("hashes")[0].as_py(), np.uint64).tolist()
+    h, n = maxent._added_up(np.array([5, 2, 5], np.uint64), np.array([1, 2, 3]))
+    assert (h.tolist(), n.tolist()) == ([2, 5], [2, 4])
